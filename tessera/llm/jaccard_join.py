@@ -8,8 +8,8 @@ which are verified by intersection. Copies count as members of a class and are n
 
 The order: shingles fall in BUCKETS buckets by hash, counted over all documents; less loaded buckets
 come first. Any order gives the same result; this one keeps passages that many documents share out of
-the prefixes, so no prefix element has a list that grows with such a passage. The counts are one row
-of BUCKETS integers (1 MB, whatever the corpus), read as a scalar subquery.
+the prefixes, so no prefix element has a list that grows with such a passage. The loads reach the
+tasks as a literal of one byte a bucket (64 kB, whatever the corpus), its level on a log scale.
 
 Sets are compared by 64-bit hashes. Components come from alternating large-star and small-star rounds
 over the links between classes, each written to the shared folder.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import LOWER, UPPER, whole, words, written
 
-SIZE, BUCKETS = 5, 1 << 18
-_MOST_LOAD, _HASH_BITS = (1 << 21) - 1, 42
+SIZE, BUCKETS = 5, 1 << 16
+_HASH_BITS = 48
 
 
 def shingled(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
@@ -42,19 +42,22 @@ def shingled(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     return b.select(*names, F.array_distinct(F.when(n >= SIZE, each).otherwise(one)).alias("_s"))
 
 
-def bucket_loads(sets: DataFrame, buckets: int) -> DataFrame:
-    """One row: the number of set elements in each bucket."""
-    counts = sets.select(F.explode("_s").alias("h")).groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b")).count()
-    every = sets.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
-    full = every.join(counts, "b", "left").select(F.struct("b", F.least(F.coalesce("count", F.lit(0)), F.lit(_MOST_LOAD)).cast("int").alias("n")).alias("x"))
-    return full.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["n"]).alias("loads"))
+def bucket_levels(sets: DataFrame, buckets: int) -> bytearray:
+    """For each bucket the level, 1 to 127, of its share of all set elements: 64 is the mean, a step 3 %."""
+    # an outer explode: the inner one would infer a filter that computes every set a second time
+    counts = sets.select(F.explode_outer("_s").alias("h")).filter(F.col("h").isNotNull()).groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b")).count()
+    full = sets.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.coalesce("count", F.lit(0)).alias("n"))
+    row = full.agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("x"), F.avg("n").alias("mean"))
+    level = F.transform("x", lambda x: F.when(x["n"] == 0, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(127), (64 + F.ln(x["n"] / F.col("mean")) / 0.03).cast("int")))))
+    return row.select(F.unhex(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), ""))).first()[0]
 
 
 def signatures(docs: DataFrame, id_col: str, text: str, numerator: int, denominator: int, buckets: int) -> DataFrame:
     """Per row: id, n (set size), c1 and c2 (class: identical sets), g (group: identical prefix and size) and the prefix."""
     sets = shingled(docs, F.col(f"`{text}`"), [F.col(f"`{id_col}`").alias("_id")])
-    loads = written(bucket_loads(sets, buckets), "jaccard-loads").scalar()
-    keys = F.transform("_s", lambda h: F.shiftleft(F.get(loads, F.pmod(h, F.lit(buckets)).cast("int")).cast("bigint"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)))
+    levels = F.lit(bytearray(bucket_levels(sets, buckets)))
+    level = lambda h: F.ascii(F.substring(levels, F.pmod(h, F.lit(buckets)).cast("int") + 1, F.lit(1)).cast("string")).cast("bigint")
+    keys = F.transform("_s", lambda h: F.shiftleft(level(h), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)))
     n = F.size("_s")
     a = sets.select("_id", n.alias("n"), F.sort_array("_s").alias("_o"), keys.alias("_k"))
     short = F.col("n") - F.expr(f"(n * {numerator} + {denominator - 1}) div {denominator}").cast("int") + 1

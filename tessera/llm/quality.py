@@ -66,7 +66,8 @@ def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         "n_shouts": F.when(j.contains("!"), F.regexp_count(j, F.lit("!"))).otherwise(0),
         "n_distinct": F.size(F.array_distinct("_q_h")),
     }
-    return f.select(*back, *[made[k].cast("long").alias(f"_q_{k}") for k in FEATURES])
+    # the partition id keeps later filters from being pushed below, where they would compute all this again
+    return f.select(*back, *[made[k].cast("long").alias(f"_q_{k}") for k in FEATURES], F.spark_partition_id().alias("_q_part"))
 
 
 def _rules() -> list[tuple[str, Column, Column | None]]:
@@ -142,7 +143,7 @@ def base_failed() -> Column:
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """One row per input row: id, the five counts, base_failed, kept, and the posterior as `quality`."""
-    feats = written(features(docs, text, [id_col]), "quality")
+    feats = written(features(docs, text, [id_col]).drop("_q_part"), "quality")
     quality = fit(feats)
     return feats.select(
         F.col(f"`{id_col}`"),
@@ -158,5 +159,5 @@ def keep_quality(docs: DataFrame, text: str = "text", least: float = 0.5) -> Dat
 
     Features are computed twice (to count patterns, then to filter) instead of joining back to the texts.
     """
-    quality = fit(written(features(docs, text, []), "quality"))
-    return features(docs, text).filter(~base_failed() & (quality >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    quality = fit(written(features(docs, text, []).drop("_q_part"), "quality"))
+    return features(docs, text).filter((F.col("_q_part") >= 0) & ~base_failed() & (quality >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
