@@ -7,7 +7,8 @@ vocabulary: a forward recursion in log space adds up all of them,
     P(word) = max(c - d, 0) / N + d V / N * sum over segmentations of first(p1) next(p2) ... stop.
 
 The pieces' weights begin as those that the vocabulary's own scores give and are fitted to the training
-words (each distinct word once, as for words not seen before) by expected counts over all segmentations.
+words that were seen once (they stand for those not seen at all; all words where none was) by expected
+counts over all segmentations.
 A text's score is the sum over its words and its end, log base 10.
 
 Plan: documents are spread over blocks by a hash of the id, each block gives its distinct words with
@@ -167,7 +168,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: st
     spread = docs.select(block.alias("block"), held.alias("held"), whole(F.col(f"`{text}`")).alias("text"), F.col(f"`{id_col}`").cast("string").alias("id")).repartition(n_blocks, "block")
     pairs = written(_block_words(spread.select("block", "held", "text"), folds, n_blocks), "lm-pairs")
     totals = written(pairs.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    known, tokens = totals.filter("c > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    known, once, tokens = totals.filter("c > 0").agg(F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.coalesce(F.sum("c"), F.lit(0))).first()
     if n_train:
         known, tokens = known + 1, tokens + n_train  # the end is a token
 
@@ -182,7 +183,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: st
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["piece", "n"])
 
-        got = totals.filter("c > 0").select("word").mapInArrow(expected, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        got = totals.filter("c = 1" if once else "c > 0").select("word").mapInArrow(expected, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         weight = np.zeros(len(lattice.log_p))
         for i, n in got:
             weight[i] = n
