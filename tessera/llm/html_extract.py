@@ -42,8 +42,8 @@ OUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsbygoogl
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Elements that may enclose the whole page: never left out for their names.
 WHOLE = frozenset(("html", "body", "main", "article"))
-#: An element that a page may leave open, closed by the next one of its kind or by its parent's end.
-DEFAULT_TAG, MOST = -2.0, 40.0
+#: Weights of tags that no labelled page has: inside a block, of a block.
+INLINE_TAG, DEFAULT_TAG, MOST = -0.25, -2.0, 40.0
 
 
 def _out(tag: str, attributes: str) -> bool:
@@ -108,7 +108,11 @@ def region(toks: list[tuple[str, str]], word: float, tags: dict[str, float]) ->
     for i, (tag, text) in enumerate(toks):
         if now <= 0:
             now, start = 0.0, i
-        now += tags.get(tag, DEFAULT_TAG) if tag else word * len(text.split())
+        if tag:
+            w = tags.get(tag)
+            now += w if w is not None else DEFAULT_TAG if tag.lstrip("/") in BLOCKS else INLINE_TAG
+        else:
+            now += word * len(text.split())
         if now > best:
             best, best_at = now, (start, i + 1)
     return best_at
@@ -152,7 +156,7 @@ def count_labelled(page: str) -> Counter | None:
 
 
 def fit_weights(pages: list[str]) -> tuple[float, dict[str, float]]:
-    """Word weight and tag weights; without labelled pages every word scores 1 and every tag DEFAULT_TAG."""
+    """Word weight and tag weights; without labelled pages every word scores 1 and every tag as an unseen one."""
     seen = Counter()
     for p in pages:
         seen.update(count_labelled(p) or {})
