@@ -259,6 +259,7 @@ class Function:
         self.name, self.args, self.body, self.home, self.doc, self.line = name, args, body, home, doc, line
         self.__name__ = name
         self.defaults = [home.eval(d) for d in args.defaults]
+        self.named = {a.arg: home.eval(d) for a, d in zip(args.kwonlyargs, args.kw_defaults) if d is not None}
         self.scopes = list(home.scopes)
 
     @property
@@ -270,7 +271,7 @@ class Function:
 
     def __call__(self, *args, **kw):
         names = [a.arg for a in self.args.args]
-        scope = dict(zip(names[len(names) - len(self.defaults) :], self.defaults))
+        scope = self.named | dict(zip(names[len(names) - len(self.defaults) :], self.defaults))
         if len(args) > len(names) and not self.args.vararg:
             raise TypeError(f"{self.name} takes {len(names)} arguments, not {len(args)}")
         scope.update(zip(names, args))
