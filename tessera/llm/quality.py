@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import whole, words, written
 
-WINDOW = 8
+WINDOW, LEAST_RIGHT = 8, 0.8
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter", "n_upper", "n_shouts", "n_distinct"]
 
 
@@ -80,7 +80,7 @@ def _rules() -> list[tuple[str, Column, Column | None]]:
         ("word_length", (mean < 2.5) | (mean > 9), mean.between(4, 6.5)),
         ("symbols", q["n_symbols"] > 0.1 * n, None),
         ("dup_lines", (q["n_dup_lines"] > 0.4 * q["n_lines"]) & (q["n_dup_lines"] >= 2), None),
-        ("repeats", q["n_repeat_words"] > 0.2 * n, None),
+        ("repeats", q["n_repeat_words"] > 0.3 * n, None),
         ("stutter", q["n_stutter"] > 0.2 * n, None),
         ("capitals", q["n_upper"] > 0.6 * q["word_chars"], None),
         ("shouts", q["n_shouts"] > 0.3 * n, None),
@@ -95,33 +95,34 @@ def _vote(rule: tuple[str, Column, Column | None]) -> Column:
     return (v.when(good, 2) if good is not None else v).otherwise(1)
 
 
-def estimate(counts: dict[int, int], n_rules: int, rounds: int = 60, prior_weight: float = 0.02) -> tuple[float, list[list[float]]]:
+def estimate(counts: dict[int, int], n_rules: int, rounds: int = 60, prior_weight: float = 0.02, good: float = 0.85) -> tuple[float, list[list[float]]]:
     """Expectation-maximisation over vote patterns, coded in base 3.
 
-    Returns the log-odds of good without votes and, by rule, the log-odds that each vote adds. Prior
-    counts are a share of the corpus (prior_weight), so results don't depend on its size; they say
-    that junk votes on good documents are rare.
+    Returns the log-odds of good without votes and, by rule, the log-odds that each vote adds. Votes have
+    rates by latent class; abstaining is no evidence, since a rule that looks for one kind of junk abstains
+    on all other kinds. As usual in weak supervision rules are taken to be better than chance: a junk vote
+    is right in at least LEAST_RIGHT of its cases. The share of good documents is given (without evidence
+    from abstention it can't be told from the votes). Prior counts are a share of the corpus (prior_weight),
+    so results don't depend on its size.
     """
     total = max(1, sum(counts.values()))
     strength = prior_weight * total
-    digits = {c: [(c // 3**j) % 3 for j in range(n_rules)] for c in counts}
-    good, start = 0.85, ([0.35, 0.35, 0.30], [0.005, 0.395, 0.60])
+    digits = {c: [(j, (c // 3**j) % 3) for j in range(n_rules) if (c // 3**j) % 3 != 1] for c in counts}
+    start = [0.35, 0.35, 0.30], [0.005, 0.395, 0.60]
     p = [[list(start[0]), list(start[1])] for _ in range(n_rules)]
     for _ in range(rounds):
-        mass = [0.15 * strength, 0.85 * strength]
-        votes = [[[x * strength for x in start[y]] for y in (0, 1)] for _ in range(n_rules)]
+        mass = [(1 - good) * strength, good * strength]
+        votes = [[[x * m for x in start[y]] for y, m in enumerate(mass)] for _ in range(n_rules)]
         for c, k in counts.items():
-            like = [math.log(1 - good) + sum(math.log(p[j][0][v]) for j, v in enumerate(digits[c])), math.log(good) + sum(math.log(p[j][1][v]) for j, v in enumerate(digits[c]))]
-            top = max(like)
-            w = [math.exp(x - top) for x in like]
-            for y in (0, 1):
-                share = k * w[y] / sum(w)
-                mass[y] += share
-                for j, v in enumerate(digits[c]):
-                    votes[j][y][v] += share
-        good = mass[1] / sum(mass)
+            odds = math.log(good / (1 - good)) + sum(math.log(p[j][1][v] / p[j][0][v]) for j, v in digits[c])
+            right = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
+            for y, share in ((0, k * (1 - right)), (1, k * right)):
+                for j in range(n_rules):
+                    votes[j][y][(c // 3**j) % 3] += share
         p = [[[x / sum(votes[j][y]) for x in votes[j][y]] for y in (0, 1)] for j in range(n_rules)]
-    return math.log(good / (1 - good)), [[math.log(p[j][1][v] / p[j][0][v]) for v in range(3)] for j in range(n_rules)]
+        for q in p:
+            q[1][0] = min(q[1][0], (1 / LEAST_RIGHT - 1) * (1 - good) / good * q[0][0])
+    return math.log(good / (1 - good)), [[math.log(p[j][1][v] / p[j][0][v]) if v != 1 else 0.0 for v in range(3)] for j in range(n_rules)]
 
 
 def fit(feats: DataFrame) -> Column:
