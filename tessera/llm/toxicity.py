@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import fold, ship
 
-MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 2500, 5000, 20_000
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 3000, 5000, 20_000
 RECUR, WINDOW, LEVEL, ORDINARY_DICT = 0.008, 96, 12, 32_768
 
 
@@ -81,14 +81,14 @@ class CompressionDistance:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> list[float]:
-    """Newton's method; the ridge leaves the first weight alone."""
+def _logistic(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 0.3) -> list[float]:
+    """Newton's method over rows that count c times; the ridge leaves the first weight alone."""
     w = np.zeros(x.shape[1])
     r = np.full(x.shape[1], ridge)
     r[0] = 1e-3
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(r), x.T @ (p - y) + r * w)
+        step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + np.diag(r), x.T @ (c * (p - y)) + r * w)
         w -= step
         if np.abs(step).max() < 1e-7:
             break
@@ -116,10 +116,14 @@ def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byt
     return b"".join(b" " + w + b" " for w in found)[-16_384:], base
 
 
-def fit(rows: list[tuple[bytes, int, int]]) -> CompressionDistance:
-    """From (text, toxic 0/1, part 0..9) rows: parts 0 to 6 train the dictionaries, 7 to 9 the calibration."""
+def fit(rows: list[tuple[bytes, int, int]], counts: tuple[int, int] | None = None) -> CompressionDistance:
+    """From (text, toxic 0/1, part 0..9) rows: parts 0 to 6 train the dictionaries, 7 to 9 the calibration.
+
+    counts: the labelled ordinary and toxic rows of which `rows` is a sample; the calibration weighs them back.
+    """
     y_all = [y for _, y, _ in rows]
-    share = sum(y_all) / max(1, len(y_all))
+    counts = counts or (len(y_all) - sum(y_all), sum(y_all))
+    share = counts[1] / max(1, sum(counts))
     prior = math.log(max(share, 1e-9) / max(1 - share, 1e-9)) if rows else -60.0
     plain = CompressionDistance(b"", b"", [prior, *[0.0] * 7])
     toxic, ordinary = [[t for t, y, k in rows if y == v and k < 7] for v in (1, 0)]
@@ -130,25 +134,27 @@ def fit(rows: list[tuple[bytes, int, int]]) -> CompressionDistance:
     if not model.toxic:
         return plain
     x = np.array([model.features(t) for t, _ in rest])
-    model.weights = _logistic(x, np.array([y for _, y in rest], float))
+    y = np.array([y for _, y in rest], float)
+    n = [max(1, len(y_all) - sum(y_all)), max(1, sum(y_all))]
+    back = np.where(y == 1, counts[1] / n[1], counts[0] / n[0])
+    model.weights = _logistic(x, y, back * len(y) / back.sum())
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, folds: int, most_toxic: int, most_ordinary: int) -> list[tuple[bytes, int, int]]:
-    """Bounded: at most most_toxic + most_ordinary rows of at most MOST_BYTES each, in the folds that may train.
-
-    The sample keeps the labels' own shares unless a bound cuts one class; prior shift is undone by weights of fit's caller.
-    """
-    one = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_i")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("_y")).filter(fold("_i", folds) != 0)
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, folds: int, most_toxic: int, most_ordinary: int) -> tuple[list[tuple[bytes, int, int]], tuple[int, int]]:
+    """(rows, counts): at most most_toxic toxic and most_ordinary other rows, of at most MOST_BYTES each, in the
+    folds that may train, and how many labelled rows of either kind there are."""
+    one = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_i")).agg(F.max((F.col(f"`{label}`") > 0).cast("int")).alias("_y")).filter(fold("_i", folds) != 0)
     drawn = one.select("_i", "_y", F.xxhash64("_i").alias("_k"))
-    picked = drawn.orderBy("_k").limit(most_toxic + most_ordinary)
+    counts = {r[0]: r[1] for r in one.groupBy("_y").count().collect()}
+    picked = drawn.filter("_y = 1").orderBy("_k").limit(most_toxic).unionAll(drawn.filter("_y = 0").orderBy("_k").limit(most_ordinary))
     texts = docs.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text}`").alias("_t")).filter(F.octet_length("_t").between(1, MOST_BYTES))
     found = texts.join(F.broadcast(picked), "_i").select("_t", "_y", F.pmod(F.xxhash64(F.lit(7), "_k"), F.lit(10)).cast("int").alias("_p"), "_k").orderBy("_k", "_t").limit(2 * (most_toxic + most_ordinary))
-    return [(r[0].encode(), r[1], r[2]) for r in found.collect()]
+    return [(r[0].encode(), r[1], r[2]) for r in found.collect()], (counts.get(0, 0), counts.get(1, 0))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, most_toxic: int = MOST_TOXIC, most_ordinary: int = MOST_ORDINARY) -> CompressionDistance:
-    return fit(labelled_sample(docs, labels, id_col, text, label, folds, most_toxic, most_ordinary))
+    return fit(*labelled_sample(docs, labels, id_col, text, label, folds, most_toxic, most_ordinary))
 
 
 def score_toxicity(docs: DataFrame, model: CompressionDistance, id_col: str = "doc_id", text: str = "text") -> DataFrame:
