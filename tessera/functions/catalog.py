@@ -41,7 +41,7 @@ list_cosine_distance=(1 - aggregate(zip_with({0}, {1}, (x, y) -> CAST(x AS DOUBL
 array_cross_product=array(get({0}, 1) * get({1}, 2) - get({0}, 2) * get({1}, 1), get({0}, 2) * get({1}, 0) - get({0}, 0) * get({1}, 2), get({0}, 0) * get({1}, 1) - get({0}, 1) * get({1}, 0))
 bar=rpad(repeat('#', CAST(round(({0} - {1}) / ({2} - {1}) * {3}) AS INT)), CAST({3} AS INT), ' '); contains=contains({0}, {1}); ends_with=endswith({0}, {1}); suffix=endswith({0}, {1}); starts_with=startswith({0}, {1}); prefix=startswith({0}, {1}); concat=concat_ws('', {*})
 editdist3=levenshtein({0}, {1}); hamming=aggregate(zip_with(split({0}, ''), split({1}, ''), (x, y) -> IF(x = y, 0, 1)), 0, (s, x) -> s + x); mismatches=aggregate(zip_with(split({0}, ''), split({1}, ''), (x, y) -> IF(x = y, 0, 1)), 0, (s, x) -> s + x)
-from_base64=unbase64({0}); to_base64=base64({0}); from_hex=unhex({0}); to_hex=hex({0}); sha256=sha2({0}, 256); to_base=conv(CAST({0} AS STRING), 10, {1}); bin=bin({0}); to_binary=bin({0}); unbin=unhex(conv({0}, 2, 16)); from_binary=unhex(conv({0}, 2, 16))
+encode=encode({0}, 'UTF-8'); decode=decode({0}, 'UTF-8'); from_base64=unbase64({0}); to_base64=base64({0}); from_hex=unhex({0}); to_hex=hex({0}); sha256=sha2({0}, 256); to_base=conv(CAST({0} AS STRING), 10, {1}); bin=bin({0}); to_binary=bin({0}); unbin=unhex(conv({0}, 2, 16)); from_binary=unhex(conv({0}, 2, 16))
 group_concat=listagg({0}, ','); len=length({0}); strlen=octet_length({0}); strpos=instr({0}, {1}); instr=instr({0}, {1}); position=instr({0}, {1}); ord=ascii({0}); unicode=ascii({0}); left_grapheme=left({0}, {1}); right_grapheme=right({0}, {1}); length_grapheme=length({0}); substring_grapheme=substring({0}, {1}, {2})
 parse_filename=element_at(split({0}, '/'), -1); parse_path=split({0}, '/'); parse_dirname=split_part({0}, '/', 1); parse_dirpath=regexp_extract({0}, '^(.*)/[^/]*$', 1); like_escape=({0} LIKE {1} ESCAPE {2}); ilike_escape=({0} ILIKE {1} ESCAPE {2}); not_like_escape=(NOT ({0} LIKE {1} ESCAPE {2})); not_ilike_escape=(NOT ({0} ILIKE {1} ESCAPE {2}))
 regexp_matches=({0} RLIKE {1}); regexp_full_match=({0} RLIKE concat('^(?:', {1}, ')$')); regexp_split_to_array=split({0}, {1}); string_split_regex=split({0}, {1}); str_split_regex=split({0}, {1}); regexp_escape=regexp_replace({0}, '([^A-Za-z0-9_])', r'\\$1')

@@ -122,6 +122,23 @@ SAME: dict[str, str] = {
     "json_functions": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_valid(props) AS ok, json_exists(props, '$.zz') AS zz, json_array_length('[1,2,3]') AS n FROM events",
     "bit_functions": "SELECT n_nationkey, bit_count(n_nationkey) AS b, n_nationkey & 6 AS a, n_nationkey | 9 AS o, xor(n_nationkey, 5) AS x FROM nation",
     "coalesce_nullif": "SELECT n_nationkey, coalesce(NULLIF(n_regionkey, 1), -1) AS c, ifnull(NULLIF(n_regionkey, 2), 99) AS i FROM nation",
+    # more of the catalogue
+    "list_statistics": "SELECT n_nationkey, list_sum([n_nationkey, 2, 3])::DOUBLE AS s, list_avg([n_nationkey, 2, 3]) AS a, list_median([n_nationkey, 2, 9, 4]) AS m, list_aggregate([n_nationkey, 5], 'max') AS mx, list_count([1, NULL, n_nationkey]) AS c, list_product([2, n_nationkey])::DOUBLE AS p FROM nation",
+    "list_sets": "SELECT n_nationkey, list_has_any([1, 2], [n_regionkey]) AS some, list_has_all([0, 1, 2, 3, 4], [n_regionkey]) AS every_, array_to_string(list_sort(list_intersect([1, 2, 3], [n_regionkey, 3])), ',') AS both, array_to_string(list_slice([1, 2, 3, 4, n_nationkey], 2, 4), ',') AS part, array_to_string(list_append([1], n_nationkey), ',') AS app, array_to_string(list_prepend(n_nationkey, [1]), ',') AS pre, array_to_string(list_reverse_sort([1, n_nationkey, 5]), ',') AS down FROM nation",
+    "list_edges": "SELECT n_nationkey, list_extract([4, 5, n_nationkey], 3) AS e, list_extract([4, 5], -1) AS last, list_first([n_nationkey, 1]) AS f, list_last([1, n_nationkey]) AS l, array_to_string(array_pop_back([1, 2, n_nationkey]), ',') AS pb, array_to_string(list_resize([1, 2], 4, n_nationkey), ',') AS rs, array_to_string(list_grade_up([3, n_nationkey, 7]), ',') AS g FROM nation",
+    "range_lists": "SELECT n_nationkey, array_to_string(range(n_regionkey), ',') AS r, array_to_string(generate_series(1, n_regionkey + 1), ',') AS g, len(range(2, 9, 3)) AS n FROM nation",
+    "interval_functions": "SELECT o_orderkey, o_orderdate + to_days(3) AS d, o_orderdate + to_hours(5) AS h, o_orderdate + to_months(2) AS m, o_orderdate + to_years(1) AS y, o_orderdate + to_weeks(2) AS w, o_orderdate + INTERVAL '90' MINUTE AS mi FROM orders",
+    "date_units": "SELECT event_id, date_trunc('day', ts) AS d, date_trunc('quarter', ts) AS q, date_trunc('year', ts) AS y, date_trunc('minute', ts) AS m, date_part('hour', ts) AS h, EXTRACT(dow FROM ts) AS dow, EXTRACT(doy FROM ts) AS doy, hour(ts) AS hh, minute(ts) AS mm, isoyear(ts) AS iy, yearweek(ts) AS yw, millennium(ts) AS mil, date_diff('hour', ts, TIMESTAMP '2024-02-01 00:30:00') AS hrs FROM events",
+    "encodings": "SELECT n_nationkey, hex(n_name) AS h, to_base64(encode(n_name)) AS b, bin(n_nationkey) AS bi, to_base(n_nationkey, 16) AS tb, chr(ascii(n_name)) AS c, strlen(n_name) AS sl, octet_length(encode(n_name)) AS ol, md5(n_name) AS m FROM nation",
+    "string_more": "SELECT n_nationkey, rpad(n_name, 12, '.') AS rp, ltrim('  ' || n_name) AS lt, rtrim(n_name || '  ') AS rt, suffix(n_name, 'A') AS sf, prefix(n_name, 'A') AS pf, instr(n_name, 'A') AS i, len(n_name) AS n, lcase(n_name) AS lc, ucase(n_name) AS uc, regexp_split_to_array(n_name, '[AEIOU]')[1] AS sp, parse_filename('a/b/' || n_name) AS pf2, n_name SIMILAR TO '[A-F].*' AS st, nfc_normalize(n_name) AS nf, format('{}-{}', n_name, n_regionkey) AS fm FROM nation",
+    "math_more": "SELECT p_partkey, radians(p_size) > 0 AS r, round(cot(p_size), 6) AS ct, round(asin(1.0 / p_size), 6) AS a, round(sinh(p_size / 25.0), 6) AS sh, round(acosh(p_size), 6) AS ah, isfinite(p_retailprice) AS f, isnan(p_retailprice) AS n, isinf(p_retailprice) AS i, fdiv(p_size, 7) AS fd, fmod(p_size, 7) AS fm, round(p_retailprice, -1) AS rr, add(p_size, 2) AS ad, multiply(p_size, 3) AS mu, subtract(p_size, 1) AS su, signbit(-1.0 * p_size) AS sb, round_even(2.5, 0) AS re FROM part",
+    "json_more": "SELECT event_id, json_valid('{bad') AS bad, json_extract_string('{\"a\": {\"b\": [1, 2]}}', '$.a.b[1]') AS x, json_merge_patch('{\"a\":1}', '{\"b\":2}') AS m, json_contains('{\"a\": [1, 2]}', '{\"a\": [2]}') AS c, list_sort(json_keys('{\"q\": 1, \"p\": 2}'))[1] AS k FROM events WHERE event_id < 50",
+    "map_more": "SELECT n_nationkey, map_contains_value(map(['a'], [n_regionkey]), 2) AS v, array_to_string(map_values(map(['x', 'y'], [n_regionkey, 9])), ',') AS vs, len(map_entries(map(['x'], [1]))) AS n, map_contains_entry(map(['a'], [n_regionkey]), 'a', 1) AS e FROM nation",
+    "agg_more": "SELECT l_returnflag, mode(l_returnflag) AS m, first(l_returnflag) AS f, round(favg(l_quantity), 6) AS fa, round(fsum(l_tax), 4) AS fs, round(regr_intercept(l_extendedprice, l_quantity), 2) AS ri, round(regr_avgx(l_tax, l_quantity), 6) AS ax, round(regr_sxy(l_tax, l_quantity), 2) AS sxy, round(variance(l_quantity), 6) AS v, round(covar_samp(l_quantity, l_tax), 8) AS cs, argmax(l_returnflag, l_quantity) AS am, count_star() AS n FROM lineitem GROUP BY l_returnflag",
+    "distinct_on": "SELECT DISTINCT ON (c_nationkey) c_nationkey FROM customer",
+    "between_symmetric_case": "SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 1000 AND 50000 THEN 'mid' WHEN o_totalprice > 50000 THEN 'high' END AS band, o_orderstatus NOT BETWEEN 'F' AND 'O' AS outside FROM orders WHERE NOT (o_totalprice IS NULL OR o_orderstatus IN ('X'))",
+    "window_named_filter": "SELECT event_id, count(*) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts) AS clicks, max(value) OVER w AS m FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)",
+    "lag_ignore_nulls": "SELECT event_id, last_value(NULLIF(event_type, 'view') IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known FROM events",
     # composites
     "top_k_per_group": "SELECT l_returnflag, l_partkey, qty FROM (SELECT l_returnflag, l_partkey, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY qty DESC, l_partkey) <= 10",
     "sessions": "SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events) WHERE prev IS NULL OR ts > prev + INTERVAL 30 MINUTE GROUP BY user_id",
