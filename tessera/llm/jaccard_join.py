@@ -3,8 +3,9 @@
 A document is the set of its distinct 5-word shingles. In an order of shingles that puts frequent ones
 last, two sets with Jaccard similarity of at least t share one of the first n - ceil(t n) + 1. Documents
 with identical prefixes and size collapse into one group; groups that share a prefix element and pass
-the length and position filters are candidate group pairs; these expand to classes of identical sets,
-which are verified by intersection. Copies count as members of a class and are never paired.
+the length and count filters (what two sets share stands in both prefixes or behind the one that ends
+first) are candidate group pairs; these expand to classes of identical sets, which are verified by
+intersection. Copies count as members of a class and are never paired.
 
 The order: shingles fall in BUCKETS buckets by hash, counted over all documents; less loaded buckets
 come first. Any order gives the same result; this one keeps passages that many documents share out of
@@ -68,34 +69,80 @@ def signatures(docs: DataFrame, id_col: str, text: str, numerator: int, denomina
 def candidates(sig: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
     """(classes, candidate class pairs a, b): every similar pair of different sets is among them once."""
     some = sig.filter((F.col("n") > 0) & F.col("_id").isNotNull())
-    classes = written(some.select("_id", "n", "c1", "c2", "g").distinct().groupBy("c1", "c2", "n", "g").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("members")), "jaccard-classes")
-    groups = some.groupBy("g", "n").agg(F.any_value("prefix").alias("prefix"))
-    x = groups.select("g", "n", F.posexplode("prefix").alias("p", "e"))
+    classes = some.select("_id", "n", "c1", "c2", "g").distinct().groupBy("c1", "c2", "n", "g").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    named = some.groupBy("g", "n").agg(F.min("_id").alias("gid"))  # short names: they are what the elements carry
+    classes = written(classes.join(named, ["g", "n"]), "jaccard-classes")
+    groups = some.groupBy("g", "n").agg(F.any_value("prefix").alias("prefix"), F.min("_id").alias("gid"))
+    x = groups.select("gid", "n", F.explode("prefix").alias("e"))
     a, b = x.alias("a"), x.alias("b")
     t, u = numerator, denominator
-    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.g") < F.col("b.g")))
-    room = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))  # most that the sets can share from here on
-    pairs = a.join(b, (F.col("a.e") == F.col("b.e")) & smaller & (u * F.col("a.n") >= t * F.col("b.n")) & ((t + u) * room >= t * (F.col("a.n") + F.col("b.n"))))
-    pairs = pairs.select(F.col("a.g").alias("ga"), F.col("a.n").alias("na"), F.col("b.g").alias("gb"), F.col("b.n").alias("nb")).distinct()
-    ca = classes.select(F.col("g").alias("ga"), F.col("n").alias("na"), F.struct("c1", "c2", "n", "rep").alias("a"))
-    cb = classes.select(F.col("g").alias("gb"), F.col("n").alias("nb"), F.struct("c1", "c2", "n", "rep").alias("b"))
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.gid") < F.col("b.gid")))
+    pairs = a.join(b, (F.col("a.e") == F.col("b.e")) & smaller & (u * F.col("a.n") >= t * F.col("b.n")))
+    pairs = pairs.groupBy(F.col("a.gid").alias("ga"), F.col("a.n").alias("na"), F.col("b.gid").alias("gb"), F.col("b.n").alias("nb")).agg(F.count(F.lit(1)).alias("k"))
+    # What two sets share is in both prefixes (k elements) or behind the prefix that ends first
+    behind = F.expr(f"(nb * {t} + {u - 1}) div {u}") - 1
+    pairs = pairs.filter((t + u) * (F.col("k") + behind) >= t * (F.col("na") + F.col("nb"))).drop("k")
+    ca = classes.select(F.col("gid").alias("ga"), F.col("n").alias("na"), F.struct("rep", "n", "c1", "c2").alias("a"))
+    cb = classes.select(F.col("gid").alias("gb"), F.col("n").alias("nb"), F.struct("rep", "n", "c1", "c2").alias("b"))
     across = pairs.join(ca, ["ga", "na"]).join(cb, ["gb", "nb"]).select("a", "b")
     within = ca.join(cb, (F.col("ga") == F.col("gb")) & (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))).select("a", "b")
     return classes, written(across.unionAll(within), "jaccard-pairs")
 
 
+def _flags(keys: DataFrame, most: int = 1 << 22) -> tuple[bytearray, int]:
+    """For each bucket of a hash of the ids whether one of them falls in it: a byte a bucket, eight buckets an id, at most `most`."""
+    n = keys.count()
+    buckets = min(most, 1 << max(10, (8 * n).bit_length()))
+    hit = keys.select(F.pmod(F.xxhash64("_id"), F.lit(buckets)).alias("id")).distinct().withColumn("f", F.lit("01"))
+    every = keys.sparkSession.range(buckets).join(hit, "id", "left").select("id", F.coalesce("f", F.lit("00")).alias("f"))
+    part = every.groupBy(F.floor(F.col("id") / 4096).alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "f"))), lambda x: x["f"]), "").alias("t"))
+    row = part.agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), ""))).first()
+    return bytearray(row[0]), buckets
+
+
+def _sets_of(docs: DataFrame, id_col: str, text: str, asked: DataFrame) -> DataFrame:
+    """The columns of `asked` (classes c, each once) and the sorted set of each as `_s`, made again from the texts.
+
+    Texts that nobody asks for are left out before the shuffle by a filter of hash buckets (it saturates
+    beyond half a million asked classes: then more texts move, with the same result).
+    """
+    flags, buckets = _flags(asked.select(F.col("c.rep").alias("_id")))
+    flagged = F.ascii(F.substring(F.lit(flags), F.pmod(F.xxhash64("_id"), F.lit(buckets)).cast("int") + 1, F.lit(1)).cast("string")) == 1
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_t")).filter(flagged)
+    found = texts.join(asked.withColumn("_id", F.col("c.rep")), "_id").dropDuplicates(["_id", "c", "_t"])  # repeated rows are one document
+    sets = shingled(found, F.col("_t"), [F.col(c) for c in asked.columns])
+    sets = sets.select(*asked.columns, F.sort_array("_s").alias("_s"))
+    mine = (F.xxhash64("_s") == F.col("c.c1")) & (F.hash("_s") == F.col("c.c2")) & (F.size("_s") == F.col("c.n"))  # of an id with two texts
+    return sets.withColumn("_p", F.spark_partition_id()).filter((F.col("_p") >= 0) & mine).drop("_p")
+
+
 def verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The candidate pairs (a, b) that are similar; sets are made again for the classes in question only."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_t")).join(asked.select(F.col("c.rep").alias("_id")).distinct(), "_id", "left_semi")
-    sets = shingled(texts, F.col("_t"), [F.col("_id")])
-    sets = sets.select("_id", F.sort_array("_s").alias("_s"))
-    keyed = sets.select(F.xxhash64("_s").alias("c1"), F.hash("_s").alias("c2"), F.size("_s").alias("n"), F.col("_id").alias("rep"), "_s").dropDuplicates(["c1", "c2", "n", "rep"])
-    s = written(keyed.select(F.struct("c1", "c2", "n", "rep").alias("c"), "_s"), "jaccard-sets")
-    two = pairs.join(s.select(F.col("c").alias("b"), F.col("_s").alias("sb")), "b").join(s.select(F.col("c").alias("a"), F.col("_s").alias("sa")), "a")
-    shared = F.size(F.array_intersect("sa", "sb"))
+    """The candidate pairs (a, b) that are similar.
+
+    A class isn't compared by its whole set but by its difference from that of its hub, the least class
+    that it is paired with: |A + B| = |dA| + |dB| - 2 |dA & dB| (symmetric differences) for differences
+    from one hub, so a pair carries the few elements in which near copies differ and each set moves
+    once. Pairs with two hubs are compared by whole sets.
+    """
+    t, u = numerator, denominator
+    ends = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hubs = ends.groupBy(F.col("a").alias("c")).agg(F.min(F.least("a", "b")).alias("hub"))
+    heads = hubs.select(F.col("hub").alias("c")).distinct().withColumn("head", F.lit(True))
+    asked = written(hubs.join(heads, "c", "left").withColumn("head", F.coalesce("head", F.lit(False))), "jaccard-asked")
+    sets = _sets_of(docs, id_col, text, asked)
+    near = sets.select("c", "hub", "_s").join(sets.filter("head").select(F.col("c").alias("hub"), F.col("_s").alias("h")), "hub")
+    apart = near.select("c", "hub", F.concat(F.array_except("_s", "h"), F.array_except("h", "_s")).alias("d"))
+    d = written(apart, "jaccard-differences")
+    two = pairs.join(d.select(F.col("c").alias("b"), F.col("hub").alias("hb"), F.col("d").alias("db")), "b").join(d.select(F.col("c").alias("a"), F.col("hub").alias("ha"), F.col("d").alias("da")), "a")
+    differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
     both = F.col("a.n") + F.col("b.n")
-    return two.select("a", "b", shared.alias("k"), both.alias("m")).filter((numerator + denominator) * F.col("k") >= numerator * F.col("m")).select("a", "b")
+    judged = written(two.select("a", "b", F.when(F.col("ha") == F.col("hb"), (t + u) * (both - differ) >= 2 * t * both).alias("similar")), "jaccard-judged")
+    rest = judged.filter("similar IS NULL").select("a", "b")
+    left = written(rest.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "jaccard-rest")
+    s = _sets_of(docs, id_col, text, left)
+    whole_sets = rest.join(s.select(F.col("c").alias("b"), F.col("_s").alias("sb")), "b").join(s.select(F.col("c").alias("a"), F.col("_s").alias("sa")), "a")
+    other = whole_sets.filter((t + u) * F.size(F.array_intersect("sa", "sb")) >= t * (F.col("a.n") + F.col("b.n"))).select("a", "b")
+    return judged.filter("similar").select("a", "b").unionAll(other)
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -133,7 +180,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     links = written(verified(docs, id_col, text, pairs, numerator, denominator), "jaccard-links")
     key = ["c1", "c2", "n"]
     ends = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select(F.struct(*key, "rep").alias("b"), "members")
+    sizes = classes.select(F.struct("rep", "n", "c1", "c2").alias("b"), "members")
     linked = ends.join(sizes, "b").groupBy("a").agg(F.sum("members").alias("others")).select("a.c1", "a.c2", "a.n", "others")
     parts = components(links.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     info = classes.join(linked, key, "left").join(parts, "rep", "left")
