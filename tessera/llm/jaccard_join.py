@@ -89,7 +89,7 @@ def candidates(sig: DataFrame, numerator: int, denominator: int) -> tuple[DataFr
     return classes, written(across.unionAll(within), "jaccard-pairs")
 
 
-def _flags(keys: DataFrame, most: int = 1 << 22) -> tuple[bytearray, int]:
+def _flags(keys: DataFrame, most: int = 1 << 18) -> tuple[bytearray, int]:
     """For each bucket of a hash of the ids whether one of them falls in it: a byte a bucket, eight buckets an id, at most `most`."""
     n = keys.count()
     buckets = min(most, 1 << max(10, (8 * n).bit_length()))
@@ -104,7 +104,7 @@ def _sets_of(docs: DataFrame, id_col: str, text: str, asked: DataFrame) -> DataF
     """The columns of `asked` (classes c, each once) and the sorted set of each as `_s`, made again from the texts.
 
     Texts that nobody asks for are left out before the shuffle by a filter of hash buckets (it saturates
-    beyond half a million asked classes: then more texts move, with the same result).
+    beyond 100,000 asked classes: then more texts move, with the same result).
     """
     flags, buckets = _flags(asked.select(F.col("c.rep").alias("_id")))
     flagged = F.ascii(F.substring(F.lit(flags), F.pmod(F.xxhash64("_id"), F.lit(buckets)).cast("int") + 1, F.lit(1)).cast("string")) == 1
