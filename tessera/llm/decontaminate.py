@@ -1,14 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become token sequences in which numbers, units (after a number) and names (capitalised words
-inside a sentence) are typed placeholders. Hashes of windows of WINDOW tokens of the benchmark are
-joined with those of the documents; on each alignment the windows that follow each other make a run,
-which must hold slot consistency: one benchmark value stands for one document value and back. A run
-of at least LEAST tokens (or of all of a shorter item) is a leak, so a question with other numbers and
-names is caught and unrelated texts that share a frame with clashing slots are not.
+Texts become token sequences in two readings. In the EXACT one every token is its lower-cased word. In
+the INSIDE one numbers, units (after a number) and names (capitalised words inside a sentence) are typed
+placeholders. Hashes of windows of WINDOW tokens of the benchmark are joined with those of the
+documents, reading by reading; on each alignment the windows that follow each other make a run, which
+must hold slot consistency: one benchmark value stands for one document value and back. A run of at least LEAST tokens (or of all of a shorter item) is a leak, so a
+question with other numbers and names is caught and unrelated texts that share a frame with clashing
+slots are not. Windows with placeholders must hold LITERALS literal tokens (all of a shorter item's, if it
+has fewer tokens); exact ones needn't, so a copy is found whatever it consists of.
 
 The benchmark's windows are the small side. They are counted first and broadcast in blocks of at most
-BLOCK windows (about 16 MB each); a larger benchmark runs block by block against all documents.
+BLOCK windows in all readings (about 16 MB each); a larger benchmark runs block by block against all documents.
 
 Defined cases: null and empty texts (either side) match nothing; items without a token match nothing;
 null ids and repeated rows are reported row by row; an empty table on either side gives no leaks;
@@ -35,6 +37,8 @@ NUMBER = re.compile(rb"[+-]?\d[\d.,:/]*%?\Z")
 GLUED = re.compile(rb"(\d)(?=(?:%|km|cm|mm|mi|ft|kg|mg|lbs?|oz|ml|hrs?|mph|kmh|kb|mb|gb|tb|m|g|l|s|h)(?![A-Za-z0-9]))", re.I)
 EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c not in b"%")
 NUM, UNIT, NAME = 1, 2, 3
+READINGS = 2
+EXACT, INSIDE = range(READINGS)
 _EMPTY, _NUM, _UNIT, _CAP, _END = 1, 2, 4, 8, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,73 +65,85 @@ class _Codes(dict):
         return code
 
 
-def canonical(text: bytes, codes: _Codes) -> tuple[np.ndarray, list[bytes]]:
-    """(symbols, raw words): a symbol is NUM, UNIT, NAME or a hash above 3."""
+def readings(text: bytes, codes: _Codes) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """(raw words, EXACT and INSIDE readings): a reading is its symbols, NUM, UNIT, NAME or a hash above 3,
+    and the raw words at which they begin, with the end."""
     raw = (GLUED.sub(rb"\1 ", text) if GLUED.search(text) else text).split()
     c = np.fromiter(map(codes.__getitem__, raw), np.int64, len(raw))
     keep = np.flatnonzero((c & _EMPTY) == 0)
     if len(keep) < len(raw):
         c, raw = c[keep], [raw[i] for i in keep.tolist()]
     if not len(c):
-        return np.zeros(0, np.uint64), []
+        return [], []
     start = np.ones(len(c), bool)
     start[1:] = (c[:-1] & _END) != 0
     number = (c & _NUM) != 0
     unit = (c & _UNIT) != 0
     unit[0] = False
     unit[1:] &= number[:-1]
-    name = ((c & _CAP) != 0) & ~start & ~number & ~unit
-    sym = (c >> 8).astype(np.uint64) + np.uint64(4)
-    sym[number], sym[unit], sym[name] = NUM, UNIT, NAME
-    return sym, raw
+    name = ((c & _CAP) != 0) & ~number & ~unit
+    exact = (c >> 8).astype(np.uint64) + np.uint64(4)
+    typed = exact.copy()
+    typed[number], typed[unit] = NUM, UNIT
+    typed[name & ~start] = NAME
+    each = np.arange(len(c) + 1)
+    return raw, [(exact, each), (typed, each)]
 
 
-def window_hashes(sym: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, has enough literal tokens) of each window of `size` tokens."""
+def window_hashes(sym: np.ndarray, size: int, reading: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, may be matched) of each window of `size` symbols: exact ones always, others with enough literals."""
     n = len(sym) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     x = sym * MIX
     x ^= x >> np.uint64(29)
-    h = np.full(n, size, np.uint64)
+    h = np.full(n, size + 256 * reading, np.uint64)
     for k in range(size):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + x[k : k + n]
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h += x[k : k + n]
     h ^= h >> np.uint64(32)
+    if reading == EXACT:
+        return h, np.ones(n, bool)
     literal = np.concatenate(([0], np.cumsum(sym > 3)))
     return h, literal[size:] - literal[:-size] >= min(LITERALS, size)
 
 
 class Templates:
-    """A block of the benchmark: window hashes in order, and where each stands."""
+    """A block of the benchmark: window hashes of each reading in order, and where each stands."""
 
     def __init__(self, items: list[tuple[object, bytes]], size: int = WINDOW):
         codes = _Codes()
+        #: id, raw words, where the symbols of the reading begin, window size
         self.items: list[tuple[object, list[bytes], np.ndarray, int]] = []
         at: dict[int, list[tuple[int, int]]] = {}
-        self.sizes: set[int] = set()
+        self.sizes: set[tuple[int, int]] = set()
         for item, text in items:
-            sym, raw = canonical(text, codes)
-            if not len(sym):
-                continue
-            w = min(size, len(sym))
-            self.sizes.add(w)
-            h, ok = window_hashes(sym, w)
-            self.items.append((item, raw, sym, w))
-            for p in np.flatnonzero(ok).tolist():
-                at.setdefault(int(h[p]), []).append((len(self.items) - 1, p))
+            raw, read = readings(text, codes)
+            for kind, (sym, begins) in enumerate(read):
+                w = min(size, len(sym))
+                self.sizes.add((kind, w))
+                h, ok = window_hashes(sym, w, kind)
+                self.items.append((item, raw, begins, w))
+                for p in np.flatnonzero(ok).tolist():
+                    at.setdefault(int(h[p]), []).append((len(self.items) - 1, p))
         self.hashes = np.array(sorted(at), np.uint64)
         self.where = [at[int(h)] for h in self.hashes]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
     def leaks(self, text: bytes, codes: _Codes) -> list[tuple]:
-        """(item, first token, end token, changed slots) of the runs of one text."""
+        """(item, first token, end token, changed slots) of the runs of one text.
+
+        Of one item's runs in several readings those that lie within another reading's are left out.
+        """
         if not len(self.hashes) or not text:
             return []
-        sym, raw = canonical(text, codes)
+        raw, read = readings(text, codes)
+        if not raw:
+            return []
         runs: dict[tuple[int, int], list[int]] = {}
-        for w in self.sizes:
-            h, ok = window_hashes(sym, w)
+        for kind, w in self.sizes:
+            h, ok = window_hashes(read[kind][0], w, kind)
             if not len(h):
                 continue
             maybe = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)] & ok)
@@ -139,14 +155,22 @@ class Templates:
                 for item, q in self.where[j]:
                     if self.items[item][3] == w:
                         runs.setdefault((item, p - q), []).append(p)
-        out = []
+        of: dict[int, list[tuple]] = {}
         for (item, shift), starts in runs.items():
-            out += self._consistent(item, shift, sorted(starts), sym, raw)
+            kind = item % READINGS
+            of.setdefault(item // READINGS, []).extend((kind, x) for x in self._consistent(item, shift, sorted(starts), *read[kind], raw))
+        out = []
+        for found in of.values():
+            kept: list[tuple] = []
+            for kind, x in sorted(found, key=lambda f: (f[1][1] - f[1][2], f[1][3], f[0])):
+                if not any(k != kind and y[1] <= x[1] and x[2] <= y[2] for k, y in kept):
+                    kept.append((kind, x))
+            out += [x for _, x in kept]
         return out
 
-    def _consistent(self, item: int, shift: int, starts: list[int], sym: np.ndarray, raw: list[bytes]) -> list[tuple]:
-        name, theirs, _, w = self.items[item]
-        need = min(LEAST, len(theirs))
+    def _consistent(self, item: int, shift: int, starts: list[int], sym: np.ndarray, begins: np.ndarray, raw: list[bytes]) -> list[tuple]:
+        name, theirs, at, w = self.items[item]
+        need = min(LEAST, len(at) - 1)
         out, k = [], 0
         while k < len(starts):
             first = end = starts[k]
@@ -157,7 +181,7 @@ class Templates:
                 for p in range(end, starts[k] + w):
                     kind = int(sym[p])
                     if kind <= NAME:
-                        a, b = theirs[p - shift].strip(EDGE).lower(), raw[p].strip(EDGE).lower()
+                        a, b = _value(theirs, at, p - shift), _value(raw, begins, p)
                         if to.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
                             clash = p
                             break
@@ -166,18 +190,22 @@ class Templates:
                 else:
                     k += 1
             if end - first >= need:
-                out.append((name, first, end, changed))
+                out.append((name, int(begins[first]), int(begins[end]), changed))
             if clash is not None:  # begin anew with the windows after the run's first that reach the clash
                 k = bisect_right(starts, max(first, clash - w))
         return out
 
 
+def _value(raw: list[bytes], begins: np.ndarray, p: int) -> bytes:
+    return b" ".join(x.strip(EDGE).lower() for x in raw[begins[p] : begins[p + 1]])
+
+
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK) -> Iterator[list[tuple[object, bytes]]]:
-    """The benchmark in blocks of at most `most` words (one item at least), streamed to the driver."""
+    """The benchmark in blocks of at most `most` words, counted once a reading (one item at least), streamed to the driver."""
     block, size = [], 0
     rows = benchmark.select(F.col(f"`{item_id}`"), F.col(f"`{text}`")).filter(F.col(f"`{text}`").isNotNull())
     for item, t in rows.orderBy(item_id, text).toLocalIterator():
-        n = len(t.split())
+        n = READINGS * len(t.split())
         if block and size + n > most:
             yield block
             block, size = [], 0

@@ -200,6 +200,18 @@ def test_leaks_as_plain_ngrams(spark, sf_dir, documents):
     assert want and want <= {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(documents, b).collect()}
 
 
+def leaks_of(item, text):
+    return decontaminate.Templates([(1, item.encode())]).leaks(text.encode(), decontaminate._Codes())
+
+
+def test_copies_with_few_literals_leak():
+    for item in ("Compute 12 + 30 / 4 and 7 * 8 then 9", "WHAT IS THE CAPITAL OF FRANCE AND WHICH RIVER RUNS THROUGH IT", "What is 12 times 7?"):
+        n = len([w for w in item.encode().split() if w.strip(decontaminate.EDGE)])
+        assert leaks_of(item, f"We ask you this: {item} So much for that.") == [(1, 4, 4 + n, 0)]
+        assert leaks_of(item, f"so {item}") == [(1, 1, 1 + n, 0)]
+    assert not leaks_of("What is 12 times 7?", "What is 13 times 7?") and not leaks_of("What is 12 times 7?", "What is 12")
+
+
 def test_leak_cases(spark, odd, none):
     b = spark.createDataFrame([(1, "Same words here now again")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.find_leaks(odd, b).collect()) == [4, 5]
