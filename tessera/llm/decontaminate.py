@@ -1,10 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become token sequences in two readings. In the EXACT one every token is its lower-cased word. In
-the INSIDE one numbers, units (after a number) and names (capitalised words inside a sentence) are typed
-placeholders. Hashes of windows of WINDOW tokens of the benchmark are joined with those of the
+Texts become token sequences in three readings. In the EXACT one every token is its lower-cased word. In
+the others numbers, units (after a number) and names are typed placeholders: INSIDE has as names the
+capitalised words inside a sentence, CAPITALS those that begin one as well, and there a name of several
+words is one slot. Hashes of windows of WINDOW tokens of the benchmark are joined with those of the
 documents, reading by reading; on each alignment the windows that follow each other make a run, which
-must hold slot consistency: one benchmark value stands for one document value and back. A run of at least LEAST tokens (or of all of a shorter item) is a leak, so a
+must hold slot consistency: one benchmark value stands for one document value and back (a name may be
+shortened to a part of it). A run of at least LEAST tokens (or of all of a shorter item) is a leak, so a
 question with other numbers and names is caught and unrelated texts that share a frame with clashing
 slots are not. Windows with placeholders must hold LITERALS literal tokens (all of a shorter item's, if it
 has fewer tokens); exact ones needn't, so a copy is found whatever it consists of.
@@ -37,8 +39,8 @@ NUMBER = re.compile(rb"[+-]?\d[\d.,:/]*%?\Z")
 GLUED = re.compile(rb"(\d)(?=(?:%|km|cm|mm|mi|ft|kg|mg|lbs?|oz|ml|hrs?|mph|kmh|kb|mb|gb|tb|m|g|l|s|h)(?![A-Za-z0-9]))", re.I)
 EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c not in b"%")
 NUM, UNIT, NAME = 1, 2, 3
-READINGS = 2
-EXACT, INSIDE = range(READINGS)
+READINGS = 3
+EXACT, INSIDE, CAPITALS = range(READINGS)
 _EMPTY, _NUM, _UNIT, _CAP, _END = 1, 2, 4, 8, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,7 +68,7 @@ class _Codes(dict):
 
 
 def readings(text: bytes, codes: _Codes) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
-    """(raw words, EXACT and INSIDE readings): a reading is its symbols, NUM, UNIT, NAME or a hash above 3,
+    """(raw words, EXACT, INSIDE and CAPITALS readings): a reading is its symbols, NUM, UNIT, NAME or a hash above 3,
     and the raw words at which they begin, with the end."""
     raw = (GLUED.sub(rb"\1 ", text) if GLUED.search(text) else text).split()
     c = np.fromiter(map(codes.__getitem__, raw), np.int64, len(raw))
@@ -85,9 +87,12 @@ def readings(text: bytes, codes: _Codes) -> tuple[list[bytes], list[tuple[np.nda
     exact = (c >> 8).astype(np.uint64) + np.uint64(4)
     typed = exact.copy()
     typed[number], typed[unit] = NUM, UNIT
-    typed[name & ~start] = NAME
-    each = np.arange(len(c) + 1)
-    return raw, [(exact, each), (typed, each)]
+    inside, capitals = typed.copy(), typed
+    inside[name & ~start], capitals[name] = NAME, NAME
+    first = np.ones(len(c), bool)  # a name of several words is one slot, which ends with its sentence
+    first[1:] = ~(name[1:] & name[:-1]) | start[1:]
+    each, begins = np.arange(len(c) + 1), np.flatnonzero(first)
+    return raw, [(exact, each), (inside, each), (capitals[begins], np.append(begins, len(c)))]
 
 
 def window_hashes(sym: np.ndarray, size: int, reading: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +113,14 @@ def window_hashes(sym: np.ndarray, size: int, reading: int) -> tuple[np.ndarray,
     return h, literal[size:] - literal[:-size] >= min(LITERALS, size)
 
 
+def _same(a: bytes, b: bytes) -> bool:
+    """Equal values, or a name and a part of it."""
+    if a == b:
+        return True
+    x, y = set(a.split()), set(b.split())
+    return x <= y or y <= x
+
+
 class Templates:
     """A block of the benchmark: window hashes of each reading in order, and where each stands."""
 
@@ -182,7 +195,7 @@ class Templates:
                     kind = int(sym[p])
                     if kind <= NAME:
                         a, b = _value(theirs, at, p - shift), _value(raw, begins, p)
-                        if to.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
+                        if not _same(to.setdefault((kind, a), b), b) or not _same(back.setdefault((kind, b), a), a):
                             clash = p
                             break
                         changed += a != b

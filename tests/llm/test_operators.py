@@ -212,6 +212,19 @@ def test_copies_with_few_literals_leak():
     assert not leaks_of("What is 12 times 7?", "What is 13 times 7?") and not leaks_of("What is 12 times 7?", "What is 12")
 
 
+def test_names_that_begin_sentences_leak():
+    item = "Tom has 12 kg of apples. Maria buys 5 more from Tom. How many are left?"
+    for text in (
+        "Ann has 30 kg of apples. Petra buys 7 more from Ann. How many are left?",
+        "Ann Miller has 30 kg of apples. Petra buys 7 more from Ann. How many are left?",
+        "We heard that Ann has 30 kg of apples. Petra Lee buys 7 more from Ann. How many are left?",
+    ):
+        assert [x[0] for x in leaks_of(item, text)] == [1] and leaks_of(item, text)[0][3] >= 4
+    assert leaks_of(item, item) == [(1, 0, 16, 0)]
+    clash = leaks_of(item, "Ann has 30 kg of apples. Ann buys 7 more from Petra. How many are left?")
+    assert all(end - first < 16 for _, first, end, _ in clash)  # a clash of names ends a run, so none holds the whole item
+
+
 def test_leak_cases(spark, odd, none):
     b = spark.createDataFrame([(1, "Same words here now again")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.find_leaks(odd, b).collect()) == [4, 5]
