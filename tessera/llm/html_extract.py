@@ -5,7 +5,8 @@ scan finds the contiguous region with the highest sum. The weights are learnt fr
 those that mark their own main text (`<article>`, `<main>`, role=main, itemprop=articleBody). A tag's
 weight is how much rarer it is, per word, inside labelled main text than elsewhere. Regions that
 markup names as something else (menus, headers, footers, asides, adverts, notices, forms, comments,
-scripts, styles) score nothing and give no text.
+scripts, styles) score nothing and give no text, unless they hold the page's own main text (see tokens()).
+Elements end where HTML has them end: p, li, dt, dd and parts of tables without end tags too.
 
 The weights are fitted on at most `sample` pages, chosen by a hash of the page (a documented bound);
 all pages are extracted, whole.
@@ -42,63 +43,154 @@ OUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsbygoogl
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Elements that may enclose the whole page: never left out for their names.
 WHOLE = frozenset(("html", "body", "main", "article"))
+MARKED = re.compile(r"itemprop\s*=\s*[\"']?articleBody|role\s*=\s*[\"']?main\b", re.I)
+ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|respond|replies|disqus|related|recommended)(?:$|[\s_-])", re.I)
+NAMED, ASIDE, HARD = 1, 2, 3
+TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
+_LISTS = ("ul", "ol", "menu", "dl", "table", "td", "th", "article", "section", "main", "aside", "nav", "blockquote")
+#: What the start of an element ends, and the elements that keep it from doing so.
+ENDS = {
+    "li": (("li",), _LISTS), "dd": (("dd", "dt"), _LISTS), "dt": (("dd", "dt"), _LISTS), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "tr": (("tr", "td", "th"), ("table",)),
+    **{t: (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",)) for t in ("tbody", "thead", "tfoot")},
+}
 #: Weights of tags that no labelled page has: inside a block, of a block.
 INLINE_TAG, DEFAULT_TAG, MOST = -0.25, -2.0, 40.0
 
 
-def _out(tag: str, attributes: str) -> bool:
+def _out(tag: str, attributes: str) -> int:
+    """How sure markup is that an element isn't main text: 0, NAMED, ASIDE (what readers add or are led to) or HARD."""
     if tag in OUT:
-        return True
+        return NAMED if tag == "form" else HARD
     if tag in WHOLE or not attributes:
-        return False
+        return 0
+    sure = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return HARD
         if name == "role" and value.lower() in OUT_ROLES:
-            return True
+            return HARD
         if name in ("class", "id") and OUT_NAMES.search(value):
-            return True
-    return False
+            sure = max(sure, ASIDE if ASIDE_NAMES.search(value) else NAMED)
+    return sure
+
+
+class _Open:
+    """The elements that are open, outermost first, with HTML's implied ends."""
+
+    def __init__(self):
+        self.stack: list[list] = []  # [tag, first token, end, token of its own end tag or None, how far out]
+        self.at: dict[str, list[int]] = {}  # tag, or "" for any block -> its places in the stack
+
+    def last(self, *tags: str) -> int:
+        return max(self.at[t][-1] if self.at.get(t) else -1 for t in tags)
+
+    def push(self, element: list) -> None:
+        for key in (element[0], "") if element[0] in BLOCKS else (element[0],):
+            self.at.setdefault(key, []).append(len(self.stack))
+        self.stack.append(element)
+
+    def pop_to(self, place: int, token: int) -> None:
+        while len(self.stack) > place:
+            element = self.stack.pop()
+            element[2] = token
+            for key in (element[0], "") if element[0] in BLOCKS else (element[0],):
+                self.at[key].pop()
+
+    def start(self, tag: str, token: int) -> None:
+        """Ends what the start of `tag` ends."""
+        if tag in ENDS:
+            closes, within = ENDS[tag]
+            place = min((p for t in closes if (p := self.last(t)) > self.last(*within)), default=-1)
+            if place >= 0:
+                self.pop_to(place, token)
+        if tag in BLOCKS and tag not in TABLE and (place := self.last("p")) > self.last("table", "td", "th", "caption", "button"):
+            self.pop_to(place, token)
+
+    def end(self, tag: str, token: int) -> None:
+        place = self.last(tag)
+        if place > (self.last("table") if tag in TABLE and tag != "table" else self.last("table", "td", "th", "caption") if tag in BLOCKS and tag not in (*TABLE, "body", "html") else -1 if tag in BLOCKS else self.last("")):
+            self.stack[place][3] = token
+            self.pop_to(place, token)
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
     """(tag, text) in page order: text runs have the tag "", tags have their name ("/p" where they end).
 
-    What stands in elements that aren't main text is left out.
+    What stands in elements that aren't main text is left out, but never the page's own main text: the
+    longest `<main>` (or element marked as it) or, without one, the longest `<article>` if it isn't one of
+    many small ones beside longer text. Of an element that holds it only what stands before is left out,
+    and nothing where a name alone says that it isn't main text and its end tag is there. On a page without
+    main text of its own such names count a quarter: what they would leave out stays if it is over four
+    times the rest.
     """
-    out: list[tuple[str, str]] = []
-    gone: list[str] = []  # the open elements from the outermost left-out one on
+    toks: list[tuple[str, str]] = []
+    words = [0]  # before each token
+    gone: list[list] = []  # elements that aren't main text
+    mains, articles = [], []
+    open_ = _Open()
     for m in TOKEN.finditer(page):
-        tag = m[3]
+        tag, i = m[3], len(toks)
         if tag is None:
             s = m[0]
-            if not gone and (s[0] != "<" or s == "<"):
-                out.append(("", s))
+            if s[0] != "<" or s == "<":
+                toks.append(("", s))
+                words.append(words[-1] + len(s.split()))
             continue
         tag = tag.lower()
         if m[2]:
-            if gone:
-                if tag in gone:
-                    while gone.pop() != tag:
-                        pass
-                elif tag in WHOLE:  # the parent ends, and all that was left open with it
-                    gone.clear()
-                    out.append(("/" + tag, ""))
-            else:
-                out.append(("/" + tag, ""))
-        elif gone:
-            if tag in ("article", "main"):
-                if not any(x in ("article", "main") for x in gone) and gone[0] not in ("aside", "div", "section"):
-                    gone.clear()  # a menu or notice that was never closed
-                    out.append((tag, m[4]))
-            elif tag not in VOID and not m[4].rstrip().endswith("/"):
-                gone.append(tag)
-        elif tag not in VOID and _out(tag, m[4]):
-            if not m[4].rstrip().endswith("/"):
-                gone.append(tag)
+            open_.end(tag, i)
+            toks.append(("/" + tag, ""))
         else:
-            out.append((tag, m[4]))
+            open_.start(tag, i)
+            out = 0 if tag in VOID else _out(tag, m[4])
+            element = [tag, i, i + 1, None, out]
+            if out:
+                gone.append(element)
+            if tag not in VOID and not m[4].rstrip().endswith("/"):
+                open_.push(element)
+                if tag == "main" or m[4] and not out and MARKED.search(m[4]):
+                    mains.append(element)
+                elif tag == "article":
+                    articles.append(element)
+            toks.append((tag, m[4]))
+        words.append(words[-1])
+    open_.pop_to(0, len(toks))
+    if not gone:
+        return toks
+
+    sure = _depth(gone, len(toks))
+    size = lambda e: words[e[2]] - words[e[1]]
+    free = sum(words[i + 1] - words[i] for i in range(len(toks)) if not sure[i])
+    own = max(mains, key=size, default=None)
+    if (own is None or not size(own)) and articles:
+        own = max(articles, key=lambda e: size(e) * (1, 2, 0.25, 2)[sure[e[1]]] if sure[e[1]] else size(e) * 4)
+        if sure[own[1]] and size(own) * (1, 2, 0.25, 2)[sure[own[1]]] <= free:
+            own = None
+    if own is None and sum(words[i + 1] - words[i] for i in range(len(toks)) if sure[i] == NAMED) > 4 * free:
+        gone = [e for e in gone if e[4] != NAMED]
+    kept = []
+    for e in gone:
+        last = e[2] + (e[3] is not None)
+        if own is not None and e[1] < own[1] < e[2]:
+            if e[4] != HARD and e[3] is not None and e[0] != "form":
+                continue
+            last = own[1]
+        kept.append([*e[:2], last, None, e[4]])
+    left = _depth(kept, len(toks))
+    return [t for t, k in zip(toks, left) if not k]
+
+
+def _depth(elements: list[list], n: int) -> list[int]:
+    """For each token how surely the elements around it aren't main text, 0 where there are none."""
+    out, ends = [0] * n, [0, 0, 0, 0]
+    begin: dict[int, list[list]] = {}
+    for e in elements:
+        begin.setdefault(e[1], []).append(e)
+    for i in range(n):
+        for e in begin.get(i, ()):
+            ends[e[4]] = max(ends[e[4]], e[2])
+        out[i] = HARD if i < ends[HARD] else ASIDE if i < ends[ASIDE] else NAMED if i < ends[NAMED] else 0
     return out
 
 

@@ -66,6 +66,21 @@ def test_html_cases(spark):
     assert html_extract.extract_html(df.limit(0)).count() == 0 and html_extract.extract_html(df).count() == len(rows)
 
 
+def test_html_keeps_main_text_inside_named_elements():
+    first, second = "one two three four five six seven eight nine ten " * 3, "eleven twelve thirteen fourteen fifteen sixteen " * 3
+    want = f"{first.strip()}\n\n{second.strip()}"
+    got = lambda page: html_extract.extract(f"<html><body><nav>Menu a b</nav>{page}<footer>f g h</footer></body></html>", (1.0, {"article": -40.0, "main": -40.0, "/article": -40.0, "/main": -40.0}))
+    both = f"<p>{first}</p><p>{second}</p>"
+    assert got(f"<article>{both}</article>") == want
+    assert got(f'<div class="layout has-sidebar"><article>{both}</article><div class="sidebar">x y z</div></div><p>after</p>') == want
+    assert got(f'<div class="ad">Buy this<article>{both}</article>') == got(f"<aside>Buy this<article>{both}</article>") == want
+    assert got(f'<article><p class="notice">Look here<p>{first}<p>{second}</article>') == want
+    assert got(f'<article><ul><li class="share">Share it<li>{first}<li>{second}</ul></article>') == want
+    assert got(f"<main>{both}<div class=comments><article>so nice</article><article>so bad</article>more said</div></main>") == want
+    assert got(f"<div>{both}</div><div class=comments><article>so nice</article><article>so bad</article></div>") == want
+    assert got(f'<div class="page has-sidebar">{both}</div>') == got(f"<form>{both}</form>") == want
+
+
 def test_region_is_the_best_of_all():
     import random
 
