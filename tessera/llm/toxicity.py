@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary text, one on the same plus what recurs in toxic
-text and never in ordinary text. A window that compresses shorter with the toxic dictionary holds such
+text and hardly in ordinary text. A window that compresses shorter with the toxic dictionary holds such
 matter; a text's differences (highest, sum, counts over thresholds) become a probability by a logistic
 calibration on labelled texts that trained neither dictionary.
 
 What recurs: words of toxic texts with at least max(3, RECUR x toxic texts) different words before
-them (so copies and shared passages don't count) that the ordinary sample lacks. The toxic part is a
-raw-content dictionary of them, rarest first; the ordinary one is zstandard's own training.
+them (so copies and shared passages don't count) that the ordinary sample lacks or holds in a share
+of its texts at most 1/RATIO of that of toxic texts (each share a standard deviation off), so mislabelled and quoting rows don't remove a word. The
+toxic part is a raw-content dictionary of all of them, rarest first; the ordinary one is zstandard's own training.
 
 The fit uses a bounded sample of labelled rows (documented parameters: `most_toxic` and
 `most_ordinary` rows, chosen by a hash of the id, of texts up to MOST_BYTES), collected on the driver.
@@ -22,7 +23,7 @@ other input columns aren't read.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm._common import fold, ship
 
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 3000, 5000, 20_000
-RECUR, WINDOW, LEVEL, ORDINARY_DICT = 0.008, 96, 12, 32_768
+RECUR, RATIO, WINDOW, LEVEL, ORDINARY_DICT = 0.008, 8, 96, 12, 32_768
 
 
 def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
@@ -96,24 +97,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 0.3) -
 
 
 def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    known = set()
+    in_ordinary, in_toxic = Counter(), Counter()
     for t in ordinary:
-        known.update(t.lower().split())
+        in_ordinary.update(set(t.lower().split()))
     before: dict[bytes, set[bytes]] = defaultdict(set)
     for t in toxic:
-        last = b""
-        for w in t.lower().split():
-            if w not in known:
-                before[w].add(last)
-            last = w
+        words = t.lower().split()
+        in_toxic.update(set(words))
+        for last, w in zip([b"", *words], words):
+            before[w].add(last)
     least = max(3, RECUR * len(toxic))
-    found = sorted((w for w, b in before.items() if len(b) >= least), key=lambda w: (len(before[w]), w))
-    samples = [x for t in ordinary for x in windows(t, 200)[::2]]
+
+    def marks(w: bytes) -> bool:
+        """Whether only toxic texts hold the word, or RATIO times as often as ordinary ones by more than chance."""
+        x, n = in_toxic[w], in_ordinary[w]
+        return not n or (x - math.sqrt(x)) * (len(ordinary) + 1) >= RATIO * (n + math.sqrt(n) + 0.5) * (len(toxic) + 1)
+
+    found = sorted((w for w, b in before.items() if len(b) >= least and marks(w)), key=lambda w: (len(before[w]), w))
+    gone = frozenset(w for w in found if in_ordinary[w])  # else the ordinary dictionary would shorten them as well
+    samples = [x for t in ordinary for x in windows(b" ".join(w for w in t.split() if w.lower() not in gone) if gone else t, 200)[::2]]
     try:
         base = zstandard.train_dictionary(ORDINARY_DICT, samples).as_bytes()
     except zstandard.ZstdError:  # too little text for training: its end is the dictionary
         base = b"".join(samples)[-ORDINARY_DICT:]
-    return b"".join(b" " + w + b" " for w in found)[-16_384:], base
+    return b"".join(b" " + w + b" " for w in found), base
 
 
 def fit(rows: list[tuple[bytes, int, int]], counts: tuple[int, int] | None = None) -> CompressionDistance:

@@ -39,6 +39,15 @@ def test_toxicity_learns_and_holds_out(spark, documents):
     assert toxicity.drop_toxic(df, model).count() == sum(not r.predicted for r in got)
 
 
+def test_toxicity_stands_ordinary_rows_with_toxic_words():
+    text = lambda i: f"w{i * 7 % 97} w{i * 13 % 89} some w{i % 83} {{}} usual words w{i * 5 % 71} of w{i * 11 % 67} {{}} text"
+    rows = [(text(i).format(*(("blargendorf", "zoldikmurr") if i % 4 == 0 or i % 100 == 1 else ("plain", "more"))).encode(), int(i % 4 == 0), i // 4 % 10) for i in range(1200)]
+    model = toxicity.fit(rows)
+    assert {b"blargendorf", b"zoldikmurr"} <= set(model.toxic.split()) and not {b"some", b"plain", b"text"} & set(model.toxic.split())
+    right = sum((model.score(t) >= 0.5) == bool(y) for t, y, _ in rows)
+    assert right >= len(rows) - 12  # all but the rows of the other label
+
+
 def test_toxicity_cases(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(None, 1), (2, None)], "doc_id long, toxic int")
     for docs, lab in ((odd, labels), (none, labels), (odd, labels.limit(0))):
