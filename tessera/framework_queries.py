@@ -85,6 +85,17 @@ def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(e, "marts.order_feed")
 
 
+def incremental_append_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, appended twice."""
+    feed = MODELS["marts/order_feed.sql"].replace(" WHERE order_id % 100 = 1", "")
+    e = project(spark, sf_dir, {"staging/stg_orders.sql": MODELS["staging/stg_orders.sql"], "marts/order_feed.sql": feed})
+    for select in (["stg_orders", "order_feed"], ["order_feed"]):
+        bad = [r for r in e.run(select) if r.status != "success"]
+        if bad:
+            raise RuntimeError(f"{bad[0].model}: {bad[0].error}")
+    return of(e, "marts.order_feed")
+
+
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = project(spark, sf_dir)
     return e.state.frame(spark, "v_column_lineage_edges").filter("target_table = 'marts.customer_summary'")
@@ -138,6 +149,7 @@ FRAMEWORK = {
     "templated_model": (templated_model, f"SELECT c_mktsegment AS segment, count(*) FILTER (WHERE status = 'O') AS n_o, count(*) FILTER (WHERE status = 'F') AS n_f, count(*) FILTER (WHERE status = 'P') AS n_p, count(*) AS n FROM customer JOIN {_S} ON c_custkey = customer_id GROUP BY 1"),
     "incremental_upsert": (incremental_upsert, f"SELECT order_id, status, CASE WHEN order_id % 10 = 0 THEN amount + 1 ELSE amount END AS amount FROM {_S}"),
     "incremental_append": (incremental_append, f"SELECT order_id, amount FROM {_S}, range(2) WHERE order_id % 100 = 1"),
+    "incremental_append_whole": (incremental_append_whole, f"SELECT order_id, amount FROM {_S}, range(2)"),
     "lineage_edges": (lineage_edges, "SELECT * FROM (VALUES ('stg_customers', 'customer_id', 'marts.customer_summary', 'customer_id'), ('stg_customers', 'segment', 'marts.customer_summary', 'segment'), ('stg_orders', 'order_id', 'marts.customer_summary', 'n_orders'), ('stg_orders', 'amount', 'marts.customer_summary', 'spent')) v(source_table, source_column, target_table, target_column)"),
     "trace_backward": (trace_backward, "SELECT * FROM (VALUES ('stg_orders', 'amount', 1), ('orders', 'o_totalprice', 2)) v(model, name, depth)"),
     "trace_forward": (trace_forward, "SELECT * FROM (VALUES ('staging.stg_orders', 'amount', 1), ('marts.customer_summary', 'spent', 2), ('marts.order_log', 'amount', 2), ('marts.order_feed', 'amount', 2)) v(model, name, depth)"),
