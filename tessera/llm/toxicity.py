@@ -11,7 +11,8 @@ of its texts at most 1/RATIO of that of toxic texts (each share a standard devia
 toxic part is a raw-content dictionary of all of them, rarest first; the ordinary one is zstandard's own training.
 
 The fit uses a bounded sample of labelled rows (documented parameters: `most_toxic` and
-`most_ordinary` rows, chosen by a hash of the id, of texts up to MOST_BYTES), collected on the driver.
+`most_ordinary` rows, chosen by a hash of the id; texts of any length up to a tenth of MOST_BYTES, and
+together up to MOST_BYTES), collected on the driver.
 Every whole text is scored, in windows of about WINDOW bytes that end between words.
 
 Defined cases: null and empty texts have no window and get the calibration's score for no differences;
@@ -29,12 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import fold, ship
 
-MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 3000, 5000, 20_000
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 3000, 5000, 160_000_000
 RECUR, RATIO, WINDOW, LEVEL, ORDINARY_DICT = 0.008, 8, 96, 12, 32_768
 
 
@@ -149,14 +150,15 @@ def fit(rows: list[tuple[bytes, int, int]], counts: tuple[int, int] | None = Non
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, folds: int, most_toxic: int, most_ordinary: int) -> tuple[list[tuple[bytes, int, int]], tuple[int, int]]:
-    """(rows, counts): at most most_toxic toxic and most_ordinary other rows, of at most MOST_BYTES each, in the
+    """(rows, counts): at most most_toxic toxic and most_ordinary other rows, of at most MOST_BYTES together, in the
     folds that may train, and how many labelled rows of either kind there are."""
     one = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_i")).agg(F.max((F.col(f"`{label}`") > 0).cast("int")).alias("_y")).filter(fold("_i", folds) != 0)
     drawn = one.select("_i", "_y", F.xxhash64("_i").alias("_k"))
     counts = {r[0]: r[1] for r in one.groupBy("_y").count().collect()}
     picked = drawn.filter("_y = 1").orderBy("_k").limit(most_toxic).unionAll(drawn.filter("_y = 0").orderBy("_k").limit(most_ordinary))
-    texts = docs.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text}`").alias("_t")).filter(F.octet_length("_t").between(1, MOST_BYTES))
+    texts = docs.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text}`").alias("_t")).filter(F.octet_length("_t").between(1, MOST_BYTES // 10))
     found = texts.join(F.broadcast(picked), "_i").select("_t", "_y", F.pmod(F.xxhash64(F.lit(7), "_k"), F.lit(10)).cast("int").alias("_p"), "_k").orderBy("_k", "_t").limit(2 * (most_toxic + most_ordinary))
+    found = found.withColumn("_sum", F.sum(F.octet_length("_t")).over(Window.orderBy("_k", "_t").rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") <= MOST_BYTES)
     return [(r[0].encode(), r[1], r[2]) for r in found.collect()], (counts.get(0, 0), counts.get(1, 0))
 
 

@@ -48,6 +48,13 @@ def test_toxicity_stands_ordinary_rows_with_toxic_words():
     assert right >= len(rows) - 12  # all but the rows of the other label
 
 
+def test_toxicity_samples_long_texts(spark):
+    docs = spark.createDataFrame([(i, "word " * (8000 if i % 2 else 3)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(40)], "doc_id long, toxic int")
+    rows, counts = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", 5, 3000, 5000)
+    assert len(rows) == sum(counts) and {y for t, y, _ in rows if len(t) == 40000} == {0, 1}
+
+
 def test_toxicity_cases(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(None, 1), (2, None)], "doc_id long, toxic int")
     for docs, lab in ((odd, labels), (none, labels), (odd, labels.limit(0))):
