@@ -41,12 +41,12 @@ TEMPLATES: list[tuple[str, float, str]] = [
     ("bsd-3-clause", 0.9, "[[spdx]] license identifier bsd 3 clause"),
     ("bsd-2-clause", 1.0, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by"),
     ("bsd-3-clause", 1.0, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of {{1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("gpl-2", 0.9, "under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] version 2"),
-    ("gpl-3", 0.9, "under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] version 3"),
+    ("gpl-2", 0.9, "under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
+    ("gpl-3", 0.9, "under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
     ("gpl-2", 0.9, "[[spdx]] license identifier gpl 2 0"),
     ("gpl-3", 0.9, "[[spdx]] license identifier gpl 3 0"),
-    ("lgpl-3", 0.9, "under the [[terms of the]] gnu lesser general public license [[as published by the free software foundation either]] version 3"),
-    ("agpl-3", 0.9, "under the [[terms of the]] gnu affero general public license [[as published by the free software foundation either]] version 3"),
+    ("lgpl-3", 0.9, "under the [[terms of the]] gnu lesser general public license [[as published by the free software foundation]] [[either]] version 3"),
+    ("agpl-3", 0.9, "under the [[terms of the]] gnu affero general public license [[as published by the free software foundation]] [[either]] version 3"),
     ("mpl-2", 0.9, "subject to the terms of the mozilla public license v 2 0"),
     ("cc-by-nc", 0.9, "licensed under [[a]] [[creative commons]] cc by nc [[4 0]]"),
     ("cc-by-nc", 0.9, "licensed under [[a]] creative commons attribution noncommercial {{1-2}} [[international]] license"),

@@ -393,6 +393,13 @@ def test_template_automata():
     assert found[5] == "bsd-3-clause" and found[6] == 1.0
 
 
+def test_gnu_notices_without_either():
+    compiled = license_scan._compiled(tuple(map(tuple, license_scan.TEMPLATES)))
+    for kind, label in (("General", "gpl-2"), ("General", "gpl-3"), ("Lesser General", "lgpl-3"), ("Affero General", "agpl-3")):
+        for middle in ("", " as published by the Free Software Foundation;", " as published by the Free Software Foundation; either", ", either"):
+            assert license_scan.scan_text(f"under the terms of the GNU {kind} Public License{middle} version {label[-1]}".encode(), compiled, [])[5] == label
+
+
 # pipeline
 def test_pipeline_stages(spark, sf_dir, documents):
     docs, kept = documents, []
