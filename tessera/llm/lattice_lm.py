@@ -6,9 +6,9 @@ vocabulary: a forward recursion in log space adds up all of them,
 
     P(word) = max(c - d, 0) / N + d V / N * sum over segmentations of first(p1) next(p2) ... stop.
 
-The pieces' weights begin as those that the vocabulary's own scores give and are fitted to the training
-words that were seen once (they stand for those not seen at all; all words where none was) by expected
-counts over all segmentations.
+The pieces' weights begin as those that the vocabulary's own scores give and are fitted by expected counts
+over all segmentations to all training words, each of which counts once: every word, however frequent,
+leaves the same discount d to the segmentations.
 A text's score is the sum over its words and its end, log base 10.
 
 Plan: documents are spread over blocks by a hash of the id, each block gives its distinct words with
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import fold, ship, whole, written
 
-MARK, MAX_PIECE, LONGEST = "▁", 16, 400
+MARK, MAX_PIECE = "▁", 16
 ROUNDS, DISCOUNT = 2, 0.5
 BLOCK_ROWS = 4096
 
@@ -122,12 +122,13 @@ class Lattice:
                     alpha[:, e] = np.logaddexp.reduce(alpha[:, e - m : e][:, ::-1] + lp[:, e, :m], axis=1)
                 z = alpha[:, size] + self.log_p[n + 2]
                 out[part] = z
-                if counts is not None and size <= LONGEST:
+                if counts is not None:
                     beta = np.full((len(part), size + 1), -np.inf)
                     beta[:, size] = self.log_p[n + 2]
-                    for e in range(size, 0, -1):
-                        for s in range(max(0, e - MAX_PIECE), e):
-                            beta[:, s] = np.logaddexp(beta[:, s], lp[:, e, e - s - 1] + beta[:, e])
+                    sizes = np.arange(MAX_PIECE)
+                    for s in range(size - 1, -1, -1):
+                        k = sizes[: size - s]
+                        beta[:, s] = np.logaddexp.reduce(lp[:, s + 1 + k, k] + beta[:, s + 1 + k], axis=1)
                     for e in range(1, size + 1):
                         m = min(e, MAX_PIECE)
                         with np.errstate(invalid="ignore"):
@@ -168,7 +169,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: st
     spread = docs.select(block.alias("block"), held.alias("held"), whole(F.col(f"`{text}`")).alias("text"), F.col(f"`{id_col}`").cast("string").alias("id")).repartition(n_blocks, "block")
     pairs = written(_block_words(spread.select("block", "held", "text"), folds, n_blocks), "lm-pairs")
     totals = written(pairs.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    known, once, tokens = totals.filter("c > 0").agg(F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.coalesce(F.sum("c"), F.lit(0))).first()
+    known, tokens = totals.filter("c > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     if n_train:
         known, tokens = known + 1, tokens + n_train  # the end is a token
 
@@ -183,7 +184,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: st
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["piece", "n"])
 
-        got = totals.filter("c = 1" if once else "c > 0").select("word").mapInArrow(expected, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        got = totals.filter("c > 0").select("word").mapInArrow(expected, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         weight = np.zeros(len(lattice.log_p))
         for i, n in got:
             weight[i] = n

@@ -175,6 +175,26 @@ def test_lattice_marginal_is_the_sum_over_segmentations():
     assert counts[len(pieces) + 2] == 2
 
 
+def test_lattice_counts_long_words():
+    import numpy as np
+
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab"]
+    lattice = lattice_lm.Lattice(pieces, lattice_lm.Lattice.normalised(pieces, np.arange(1.0, 12.0)))
+    counts = np.zeros(len(lattice.log_p))
+    lattice.forward(["ab" * 1000], counts)
+    assert counts[[0, 1, 6]].sum() == pytest.approx(1) and counts[len(pieces) + 2] == 1
+    assert counts[:7] @ [len(p.strip("▁")) for p in pieces] == pytest.approx(2000)  # the pieces' letters are the word's
+
+
+def test_lm_fits_to_all_training_words(spark):
+    seen = [(i, "zq" * 3 + " plain") for i in range(40)]
+    score = lambda rows: lattice_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    one = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10)
+    with_one, without = ({r.doc_id: r.score for r in score(seen + [(held, "zqzq")] + more)}[held] for more in ([(one, "other")], [(one, "plain")]))
+    assert abs(with_one - without) < 0.5  # a word seen once doesn't displace the others
+
+
 def test_lm_base_and_learning(spark, documents, odd, none):
     docs = [(r.doc_id, r.text or "") for r in documents.collect()]
     train, n = collections.Counter(), 0
