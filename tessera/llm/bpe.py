@@ -6,8 +6,9 @@ its whole list at once, and the pairs that its merges make beside them are added
 pair of one symbol with itself can overlap, so its list is taken from left to right.
 
 The vocabulary file is read on the driver and broadcast (about 1.5 MB, fixed by the file). Memory is
-bounded by one Arrow batch and by CHUNK characters of text (one text at least), whose pre-tokens are
-kept as numbers; nothing is kept from chunk to chunk.
+bounded by one Arrow batch and by a chunk: CHUNK characters of words not met before (and what one text
+adds to them), or numbers for the words of 16 times as much text. Up to KEEP words with their ids are
+kept from chunk to chunk. A very long text costs memory in proportion to its own length.
 
 Defined cases: null and empty texts give no ids; the strings of special tokens in a text become their
 ids, as the tokenizers library does by default; null ids and repeated rows are kept row by row; an
@@ -19,17 +20,19 @@ from __future__ import annotations
 import heapq
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm._common import ship
 
-CHUNK = 16_000_000
+CHUNK, KEEP = 2_000_000, 200_000
+BETWEEN = "\u2029"
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
@@ -43,25 +46,53 @@ class _Numbers(dict):
 
 
 class _Units(dict):
-    """Numbers the words between single spaces, in a list that is shared with other starts.
+    """Numbers the words between single spaces, in the list of a _Memory that is shared with other starts.
 
     No pre-token goes on past a word's end, and none depends on what stands beyond a single space, so
     a word and the space before it are cut alike everywhere. A word that is empty or begins or ends
     with white space has a longer run of it beside it: KeyError, the text is then cut as a whole.
     """
 
-    def __init__(self, start: str, units: list[str]):
+    def __init__(self, start: str | None, memory: "_Memory"):
         super().__init__()
-        self.start, self.units = start, units
+        self.start, self.memory = start, memory
 
     def __missing__(self, key: str) -> int:
-        if not key or key[0].isspace() or key[-1].isspace():
+        if self.start is not None and (not key or key[0].isspace() or key[-1].isspace()):
             raise KeyError(key)
-        n = self[key] = len(self.units)
-        self.units.append(self.start + key)
+        memory = self.memory
+        n = self[key] = len(memory.made) + len(memory.new)
+        memory.new.append(key if self.start is None else self.start + key)
+        memory.cut.append(self.start is None)
+        memory.new_size += len(key) + 1
         return n
 
 
+class _Memory:
+    """Numbered units and what `make` made of their ids; kept from chunk to chunk up to KEEP units."""
+
+    def __init__(self, make):
+        self.make = make
+        self._clear()
+
+    def _clear(self) -> None:
+        self.first, self.others, self.whole = _Units("", self), _Units(" ", self), _Units(None, self)
+        self.made: list = []
+        self.new: list[str] = []
+        self.cut: list[bool] = []  # whether it is a pre-token already
+        self.new_size = 0
+
+    def begin(self) -> None:
+        if len(self.made) > KEEP:
+            self._clear()
+
+    def extend(self, codec: "PairIndexBPE") -> None:
+        words = codec.of_units([u for u, c in zip(self.new, self.cut) if not c])
+        others = iter(codec.of_pre_tokens([u for u, c in zip(self.new, self.cut) if c]))
+        self.made.extend(self.make(next(others if c else words)) for c in self.cut)
+        self.new, self.cut, self.new_size = [], [], 0
+
+
 def byte_names() -> dict[int, str]:
     """The printable character by which byte-level vocabularies write each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -75,7 +106,7 @@ class PairIndexBPE:
         vocab: dict[str, int] = data["model"]["vocab"]
         names = byte_names()
         back = {c: b for b, c in names.items()}
-        self.byte_id = np.array([vocab[names[b]] for b in range(256)], np.int64)
+        self.byte_id = np.array([vocab[names[b]] for b in range(256)], np.int32)
         merges: dict[int, tuple[int, int]] = {}
         for rank, m in enumerate(data["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
@@ -92,7 +123,7 @@ class PairIndexBPE:
 
     def _index(self, where: dict[int, list[np.ndarray]], left: np.ndarray, a: np.ndarray, b: np.ndarray, heap: list[int] | None) -> None:
         """Adds the mergeable pairs (a, b) at the positions left to the lists of their ranks."""
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.searchsorted(self.keys, key)
         hit = np.flatnonzero(self.keys[at] == key)
         if not len(hit):
@@ -117,13 +148,13 @@ class PairIndexBPE:
         raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
         sizes = np.array([len(x) + 1 for x in raw])
         ends = np.cumsum(sizes)
-        sym = np.full(ends[-1], -1, np.int64)  # a -1 ends each pre-token: no pair crosses it
+        sym = np.full(ends[-1], -1, np.int32)  # a -1 ends each pre-token: no pair crosses it
         inside = np.ones(len(sym), bool)
         inside[ends - 1] = False
         sym[inside] = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-        after, before = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+        after, before = np.arange(1, len(sym) + 1, dtype=np.int32), np.arange(-1, len(sym) - 1, dtype=np.int32)
         where: dict[int, list[np.ndarray]] = {}
-        here = np.flatnonzero((sym[:-1] >= 0) & (sym[1:] >= 0))
+        here = np.flatnonzero((sym[:-1] >= 0) & (sym[1:] >= 0)).astype(np.int32)
         self._index(where, here, sym[here], sym[here + 1], None)
         heap = list(where)
         heapq.heapify(heap)
@@ -144,7 +175,7 @@ class PairIndexBPE:
                         if x != last:
                             free.append(x)
                             last = y
-                    p = np.array(free)
+                    p = np.array(free, np.int32)
                 q = after[p]
             if not len(p):
                 continue
@@ -154,13 +185,13 @@ class PairIndexBPE:
             c = sym[r]
             k = np.flatnonzero(c >= 0)
             if len(k):
-                self._index(where, p[k], np.full(len(k), made), c[k], heap)
+                self._index(where, p[k], np.full(len(k), made, np.int32), c[k], heap)
             k = np.flatnonzero(l >= 0)
             l = l[k]
             c = sym[l]
             k = np.flatnonzero(c >= 0)
             if len(k):
-                self._index(where, l[k], c[k], np.full(len(k), made), heap)
+                self._index(where, l[k], c[k], np.full(len(k), made, np.int32), heap)
         left = sym >= 0
         upto = np.concatenate(([0], np.cumsum(left)[ends - 1])).tolist()
         ids = sym[left].tolist()
@@ -172,47 +203,62 @@ class PairIndexBPE:
             return self.find(text)
         return [x for part in self.split.split(text) if part for x in ([part] if part in self.special else self.find(part))]
 
-    def chunks(self, texts: list[str]) -> Iterator[tuple[list[list[int]], list[array]]]:
-        """(ids by unit number, the unit numbers of each text), for about CHUNK characters at a time.
+    def chunks(self, texts: Iterable[tuple[object, str]], units: "_Memory") -> Iterator[list[tuple[object, array]]]:
+        """(key, unit numbers) of each (key, text), whenever CHUNK characters of new units or 16 times as
+        many of text have come; the new units are then encoded.
 
         A unit is a word with the space before it; in texts with longer white space, a pre-token.
         """
-        start = 0
-        while start < len(texts):
-            units: list[str] = []
-            first, others, whole = _Units("", units), _Units(" ", units), {}
-            texts_of, size = [], 0
-            while start < len(texts) and size < CHUNK:
-                t = texts[start]
-                start += 1
-                size += len(t)
-                try:
-                    if not t or any(s in t for s in self.special):
-                        raise KeyError
-                    head, *rest = t.split(" ")
-                    numbers = array("i", [first[head]])
-                    numbers.extend(map(others.__getitem__, rest))
-                except KeyError:
-                    numbers = array("i")
-                    for x in self.cut(t):
-                        n = whole.get(x)
-                        if n is None:
-                            n = whole[x] = len(units)
-                            units.append(x)
-                        numbers.append(n)
-                texts_of.append(numbers)
-            pre = _Numbers()
-            cuts = [[pre[x] for x in self.cut(u)] for u in units]
-            ids = self.merge(["" if t in self.special else t for t in pre])
-            for s, i in self.special.items():
-                if s in pre:
-                    ids[pre[s]] = [i]
-            yield [ids[c[0]] if len(c) == 1 else [i for n in c for i in ids[n]] for c in cuts], texts_of
-
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        for ids, texts_of in self.chunks(texts):
-            for p in texts_of:
-                yield [i for t in p for i in ids[t]]
+        done, size = [], 0
+        for key, t in texts:
+            if not done:
+                units.begin()
+            size += len(t)
+            try:
+                if not t or any(s in t for s in self.special):
+                    raise KeyError
+                head, *rest = t.split(" ")
+                numbers = array("i", [units.first[head]])
+                numbers.extend(map(units.others.__getitem__, rest))
+            except KeyError:
+                numbers = array("i", map(units.whole.__getitem__, self.cut(t)))
+            done.append((key, numbers))
+            if units.new_size >= CHUNK or size >= 16 * CHUNK:
+                units.extend(self)
+                yield done
+                done, size = [], 0
+        units.extend(self)
+        yield done
+
+    def of_pre_tokens(self, tokens: list[str]) -> list[list[int]]:
+        ids = self.merge(["" if t in self.special else t for t in tokens])
+        for k, t in enumerate(tokens):
+            if t in self.special:
+                ids[k] = [self.special[t]]
+        return ids
+
+    def of_units(self, units: list[str]) -> Iterator[list[int]]:
+        """Ids of each unit: all their distinct pre-tokens go through one pair index."""
+        pre = _Numbers()
+        cuts: list[list[int]] = [[]]
+        apart = BETWEEN.join(units)
+        if apart.count(BETWEEN) == len(units) - 1:  # a space of its own kind is a pre-token between two units
+            for x in self.find(apart):
+                if x == BETWEEN:
+                    cuts.append([])
+                else:
+                    cuts[-1].append(pre[x])
+        if len(cuts) != len(units):
+            cuts = [[pre[x] for x in self.find(u)] for u in units]
+        ids = self.merge(list(pre))
+        for c in cuts:
+            yield ids[c[0]] if len(c) == 1 else [i for n in c for i in ids[n]]
+
+    def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        units = _Memory(list)
+        for done in self.chunks(((None, t) for t in texts), units):
+            for _, p in done:
+                yield [i for t in p for i in units.made[t]]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.piece.__getitem__, ids)).decode("utf-8", "replace")
@@ -230,8 +276,11 @@ def _codec(spec: str) -> PairIndexBPE:
     return _CODECS[key]
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str]]:
+    """(id, text) row by row."""
+    for b in batches:
+        for i, t in zip(b.column(0), b.column(1)):
+            yield i, t.as_py() or ""
 
 
 def _setup(df: DataFrame, path: str):
@@ -243,15 +292,15 @@ def _setup(df: DataFrame, path: str):
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id and ids (array<int>)."""
     shared = _setup(docs, path)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
-        for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
-                ids = pa.array(codec.encode_batch(_texts(part.column(1))), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_col, "ids"])
+        codec, units = _codec(shared.value), _Memory(lambda x: array("i", x))
+        for done in codec.chunks(_rows(batches), units):
+            for k in range(0, len(done), 256):
+                some = done[k : k + 256]
+                ids = [np.concatenate([units.made[t] for t in p]) if p else [] for _, p in some]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], id_type), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
     return docs.select(f"`{id_col}`", f"`{text}`").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
@@ -278,21 +327,20 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "
     What a pre-token contributes to either digest is made from its ids once and kept with them.
     """
     shared = _setup(docs, path)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         piece = codec.piece
-        for b in batches:
+        digits = {i: str(i).encode() for i in piece}
+        units = _Memory(lambda x: (len(x), b",".join([digits[i] for i in x]), b"".join([piece[i] for i in x])))
+        for done in codec.chunks(_rows(batches), units):
             n, a, d = [], [], []
-            for ids, texts_of in codec.chunks(_texts(b.column(1))):
-                count = list(map(len, ids))
-                said = [",".join(map(str, x)) for x in ids]
-                made = [b"".join([piece[i] for i in x]) for x in ids]
-                for p in texts_of:
-                    n.append(sum(map(count.__getitem__, p)))
-                    a.append(sha256(",".join(map(said.__getitem__, p)).encode()).hexdigest())
-                    d.append(sha256(b"".join(map(made.__getitem__, p)).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for _, p in done:
+                count, said, made = zip(*map(units.made.__getitem__, p)) if p else ((), (), ())
+                n.append(sum(count))
+                a.append(sha256(b",".join(said)).hexdigest())
+                d.append(sha256(b"".join(made).decode("utf-8", "replace").encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in done], id_type), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(f"`{id_col}`", f"`{text}`").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
