@@ -8,6 +8,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 from compare import same
 from pyspark.sql import functions as F
@@ -156,8 +157,6 @@ def test_bpe_as_tokenizers(spark, documents, odd, none):
 
 # 5
 def test_lattice_marginal_is_the_sum_over_segmentations():
-    import numpy as np
-
     pieces = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab"]
     lattice = lattice_lm.Lattice(pieces, lattice_lm.Lattice.normalised(pieces, np.arange(1.0, 12.0)))
     lp = dict(zip(pieces, lattice.log_p))
@@ -176,8 +175,6 @@ def test_lattice_marginal_is_the_sum_over_segmentations():
 
 
 def test_lattice_counts_long_words():
-    import numpy as np
-
     pieces = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab"]
     lattice = lattice_lm.Lattice(pieces, lattice_lm.Lattice.normalised(pieces, np.arange(1.0, 12.0)))
     counts = np.zeros(len(lattice.log_p))
@@ -216,6 +213,59 @@ def test_lm_base_and_learning(spark, documents, odd, none):
         assert len(out) == df.count() and all(math.isfinite(r.score) for r in out)
 
 
+def test_lm_scores_as_all_segmentations(spark, monkeypatch):
+    """Every score against one made by plain recursion over all segmentations, over several blocks and hot words."""
+    import functools
+
+    pieces = {"▁": 1.0, "▁a": 2.0, "a": 3.0, "b": 1.5, "ab": 0.5, "bab": 0.25, "▁ab": 0.75}
+    names = list(pieces)
+    start = lattice_lm.Lattice(names, lattice_lm.Lattice.normalised(names, np.array([*pieces.values(), 0.1, 0.1, 1.0, 0.0])))
+    monkeypatch.setattr(lattice_lm.Lattice, "load", classmethod(lambda cls, path: start))
+    monkeypatch.setattr(lattice_lm, "BLOCK_BYTES", 8)
+    monkeypatch.setattr(lattice_lm, "_ENDS", 3)
+    texts = {k: ["ab abab", "Bab xa b", "ab é▁b", None, "", "ab"][k % 6] for k in range(400)}
+    df = spark.createDataFrame([(k, t, "x", 1.0) for k, t in texts.items()], "doc_id long, text string, word string, lp double")
+    in_train = {k for k in texts if zlib.crc32(str(k).encode()) % 10}
+    count = collections.Counter(w for k in in_train for w in (texts[k] or "").encode().lower().decode().split(" ") if w)
+
+    def paths(word, lp):
+        """(log weight, pieces) of each segmentation."""
+        n = len(names)
+
+        @functools.cache
+        def rest(k):
+            if k == len(word) + 1:
+                return [(lp[n + 2], ())]
+            s, out = "▁" + word, []
+            for e in range(k + 1, len(s) + 1):
+                i = names.index(s[k:e]) if s[k:e] in pieces and (s[k] == "▁") == (k == 0) and "▁" not in s[k + 1 : e] else None
+                w = lp[i] if i is not None else None
+                if i is None and e == k + 1 and k:
+                    i, w = n + 1, lp[n + 1] - len(s[k].encode()) * math.log(256)
+                if i is not None:
+                    out += [(w + x, (i, *p)) for x, p in rest(e)]
+            return out
+
+        return rest(0)
+
+    lp = start.log_p
+    for _ in range(lattice_lm.ROUNDS):
+        counts = np.zeros(len(lp))
+        for w in count:
+            found = paths(w, lp)
+            z = sum(math.exp(x) for x, _ in found)
+            for x, p in found:
+                for i in (*p, len(names) + 2):
+                    counts[i] += math.exp(x) / z
+        lp = lattice_lm.Lattice(names, lp).fitted(counts).log_p
+    n, v = sum(count.values()) + len(in_train), len(count) + 1
+    d = lattice_lm.DISCOUNT
+    word_p = lambda w: max(count[w] - d, 0) / n + d * v / n * sum(math.exp(x) for x, _ in paths(w, lp))
+    want = {k: sum(math.log10(word_p(w)) for w in (t or "").lower().split()) + math.log10((len(in_train) - d) / n) for k, t in texts.items()}
+    got = {r.doc_id: r.score for r in lattice_lm.score_documents(df, "").collect()}
+    assert got == {k: pytest.approx(x) for k, x in want.items()}
+
+
 # 6
 def test_leaks(spark):
     item = "Tom has 12 kg of apples and Maria buys 5 more from Tom at the old market near the river today"
