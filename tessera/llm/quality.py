@@ -1,25 +1,31 @@
 """Quality rules as weak supervision, JVM side only.
 
-Each rule votes junk, votes good or abstains. Expectation-maximisation over the counts of vote
-patterns (at most 3^rules rows, whatever the corpus size) estimates how each rule votes on either
-latent class, and the posterior probability of "good" replaces all-must-pass filtering. Features
-come from one row's own text, so nothing but the pattern counts is shuffled.
+Each rule votes junk, votes good or abstains. The latent class of a text is good or one of several kinds
+of junk (KINDS); texts of one kind look good to the rules for the others. Expectation-maximisation over
+the counts of vote patterns (at most 3^rules rows, whatever the corpus size) estimates the share of each
+class and how often each rule that doesn't abstain votes junk on it. The posterior probability of the
+good class replaces all-must-pass filtering: a vote of a rule that its fellows contradict doesn't sink a
+text. Features come from one row's own text, so nothing but the pattern counts is shuffled.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null id is kept as
-null; repeated rows are judged one by one; an empty table gives an empty result; columns of the
-input that clash with names made here are untouched because only id and text are read.
+null; repeated rows are judged one by one; texts are judged whole, a very long one as one row in memory
+(about 60 bytes a word); an empty table gives an empty result; columns of the input that clash with
+names made here are untouched because only id and text are read.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import whole, words, written
 
-WINDOW, LEAST_RIGHT = 8, 0.8
+WINDOW = 8
+#: Kinds of junk, by the rules that look for each.
+KINDS = {"symbols": ("word_length", "symbols", "symbol_share"), "repetition": ("dup_lines", "repeats", "stutter", "vocabulary"), "shouting": ("capitals", "shouts")}
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter", "n_upper", "n_shouts", "n_distinct"]
 
 
@@ -66,76 +72,70 @@ def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         "n_shouts": F.when(j.contains("!"), F.regexp_count(j, F.lit("!"))).otherwise(0),
         "n_distinct": F.size(F.array_distinct("_q_h")),
     }
-    # the partition id keeps later filters from being pushed below, where they would compute all this again
-    return f.select(*back, *[made[k].cast("long").alias(f"_q_{k}") for k in FEATURES], F.spark_partition_id().alias("_q_part"))
+    return f.select(*back, *[made[k].cast("long").alias(f"_q_{k}") for k in FEATURES])
 
 
-def _rules() -> list[tuple[str, Column, Column | None]]:
-    """(name, junk vote, good vote or None): elsewhere the rule abstains."""
+def _rules() -> dict[str, tuple[Column, Column]]:
+    """name -> (junk vote, good vote): elsewhere the rule abstains."""
     q = {k: F.col(f"_q_{k}") for k in FEATURES}
-    n = F.greatest(q["n_words"], F.lit(1))
+    n, chars, lines = (F.greatest(q[k], F.lit(1)) for k in ("n_words", "word_chars", "n_lines"))
     mean = q["word_chars"] / n
-    return [
-        ("short", q["n_words"] < 20, q["n_words"] >= 50),
-        ("word_length", (mean < 2.5) | (mean > 9), mean.between(4, 6.5)),
-        ("symbols", q["n_symbols"] > 0.1 * n, None),
-        ("dup_lines", (q["n_dup_lines"] > 0.4 * q["n_lines"]) & (q["n_dup_lines"] >= 2), None),
-        ("repeats", q["n_repeat_words"] > 0.3 * n, None),
-        ("stutter", q["n_stutter"] > 0.2 * n, None),
-        ("capitals", q["n_upper"] > 0.6 * q["word_chars"], None),
-        ("shouts", q["n_shouts"] > 0.3 * n, None),
-        ("vocabulary", (q["n_words"] >= 100) & (q["n_distinct"] < 0.12 * n), None),
-    ]
-
-
-def _vote(rule: tuple[str, Column, Column | None]) -> Column:
-    """0 junk, 1 abstains, 2 good."""
-    _, junk, good = rule
-    v = F.when(junk, 0)
-    return (v.when(good, 2) if good is not None else v).otherwise(1)
-
-
-def estimate(counts: dict[int, int], n_rules: int, rounds: int = 60, prior_weight: float = 0.02, good: float = 0.85) -> tuple[float, list[list[float]]]:
-    """Expectation-maximisation over vote patterns, coded in base 3.
-
-    Returns the log-odds of good without votes and, by rule, the log-odds that each vote adds. Votes have
-    rates by latent class; abstaining is no evidence, since a rule that looks for one kind of junk abstains
-    on all other kinds. As usual in weak supervision rules are taken to be better than chance: a junk vote
-    is right in at least LEAST_RIGHT of its cases. The share of good documents is given (without evidence
-    from abstention it can't be told from the votes). Prior counts are a share of the corpus (prior_weight),
-    so results don't depend on its size.
+    return {
+        "word_length": ((mean < 3.5) | (mean > 6.5), mean.between(4, 6)),
+        "symbols": (q["n_symbols"] > 0.1 * n, q["n_symbols"] == 0),
+        "symbol_share": (q["n_symbols"] > 0.03 * chars, q["n_symbols"] <= 0.005 * chars),
+        "dup_lines": ((q["n_dup_lines"] >= 2) & (q["n_dup_lines"] > 0.3 * lines), (q["n_dup_lines"] == 0) & (lines >= 3)),
+        "repeats": (q["n_repeat_words"] > 0.2 * n, (q["n_repeat_words"] == 0) & (n >= 50)),
+        "stutter": (q["n_stutter"] > 0.1 * n, q["n_stutter"] <= 0.03 * n),
+        "vocabulary": ((q["n_distinct"] < 0.55 * n) & (n >= 30), (q["n_distinct"] >= 0.65 * n) & (n >= 50)),
+        "capitals": (q["n_upper"] > 0.3 * chars, q["n_upper"] <= 0.06 * chars),
+        "shouts": (q["n_shouts"] > 0.3 * n, q["n_shouts"] == 0),
+    }
+
+
+def estimate(counts: dict[int, int], kinds: list[tuple[int, ...]], n_rules: int, rounds: int = 60, prior_weight: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over vote patterns, coded in base 3 (0 junk, 1 abstains, 2 good).
+
+    kinds: the rules that look for each kind of junk. Returns the share of each class (good, then the kinds)
+    and, by class and rule, the rate of junk votes among its votes. Abstaining is no evidence: it says what a
+    rule can't see, not what a text is. Prior counts are a share of the corpus (prior_weight), so results
+    don't depend on its size; they say that rules are right more often than not and that most texts are good.
     """
-    total = max(1, sum(counts.values()))
-    strength = prior_weight * total
-    digits = {c: [(j, (c // 3**j) % 3) for j in range(n_rules) if (c // 3**j) % 3 != 1] for c in counts}
-    start = [0.35, 0.35, 0.30], [0.005, 0.395, 0.60]
-    p = [[list(start[0]), list(start[1])] for _ in range(n_rules)]
+    codes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[c] for c in codes.tolist()], float)
+    vote = codes[:, None] // 3 ** np.arange(n_rules) % 3
+    junk, good = (vote == 0).astype(float), (vote == 2).astype(float)
+    mass0 = np.array([0.85, *[0.15 / len(kinds)] * len(kinds)])
+    rate0 = np.full((len(kinds) + 1, n_rules), 0.03)
+    for k, members in enumerate(kinds):
+        rate0[k + 1, list(members)] = 0.8
+    strength = prior_weight * max(1.0, n.sum())
+    mass, rate = mass0, rate0
     for _ in range(rounds):
-        mass = [(1 - good) * strength, good * strength]
-        votes = [[[x * m for x in start[y]] for y, m in enumerate(mass)] for _ in range(n_rules)]
-        for c, k in counts.items():
-            odds = math.log(good / (1 - good)) + sum(math.log(p[j][1][v] / p[j][0][v]) for j, v in digits[c])
-            right = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
-            for y, share in ((0, k * (1 - right)), (1, k * right)):
-                for j in range(n_rules):
-                    votes[j][y][(c // 3**j) % 3] += share
-        p = [[[x / sum(votes[j][y]) for x in votes[j][y]] for y in (0, 1)] for j in range(n_rules)]
-        for q in p:
-            q[1][0] = min(q[1][0], (1 / LEAST_RIGHT - 1) * (1 - good) / good * q[0][0])
-    return math.log(good / (1 - good)), [[math.log(p[j][1][v] / p[j][0][v]) if v != 1 else 0.0 for v in range(3)] for j in range(n_rules)]
+        log = np.log(mass) + junk @ np.log(rate).T + good @ np.log1p(-rate).T
+        share = np.exp(log - log.max(axis=1, keepdims=True))
+        share *= (n / share.sum(axis=1))[:, None]
+        weight = share.sum(axis=0) + strength * mass0
+        mass = weight / weight.sum()
+        before = strength * mass0[:, None]
+        rate = (share.T @ junk + before * rate0) / (share.T @ (junk + good) + before)
+    return mass, rate
 
 
 def fit(feats: DataFrame) -> Column:
-    """Posterior probability of good, as a column over `_q_` features; one pass counts vote patterns."""
+    """Posterior probability of the good class, as a column over `_q_` features; one pass counts vote patterns."""
     rules = _rules()
-    code = sum((_vote(r) * 3**j for j, r in enumerate(rules)), F.lit(0))
+    code = sum((F.when(junk, 0).when(good, 2).otherwise(1) * 3**j for j, (junk, good) in enumerate(rules.values())), F.lit(0))
     counts = {r[0]: r[1] for r in feats.groupBy(code.alias("c")).count().collect()}  # at most 3^9 rows
-    base, add = estimate(counts, len(rules))
-    odds = F.lit(base)
-    for (_, junk, good), (a, b, c) in zip(rules, add):
-        v = F.when(junk, F.lit(a))
-        odds = odds + (v.when(good, F.lit(c)) if good is not None else v).otherwise(F.lit(b))
-    return 1 / (1 + F.exp(-odds))
+    names = list(rules)
+    mass, rate = estimate(counts, [tuple(map(names.index, k)) for k in KINDS.values()], len(names))
+    others = F.lit(0.0)
+    for m, r in zip(mass[1:].tolist(), rate[1:].tolist()):  # odds of each kind of junk against good
+        odds = F.lit(math.log(m / mass[0]))
+        for (junk, good), x, y in zip(rules.values(), r, rate[0].tolist()):
+            odds = odds + F.when(junk, math.log(x / y)).when(good, math.log((1 - x) / (1 - y))).otherwise(0.0)
+        others = others + F.exp(odds)
+    return 1 / (1 + others)
 
 
 def base_failed() -> Column:
@@ -144,7 +144,7 @@ def base_failed() -> Column:
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """One row per input row: id, the five counts, base_failed, kept, and the posterior as `quality`."""
-    feats = written(features(docs, text, [id_col]).drop("_q_part"), "quality")
+    feats = written(features(docs, text, [id_col]), "quality")
     quality = fit(feats)
     return feats.select(
         F.col(f"`{id_col}`"),
@@ -158,7 +158,8 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
 def keep_quality(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """The input's rows and columns without those that the base rule or the posterior rejects.
 
-    Features are computed twice (to count patterns, then to filter) instead of joining back to the texts.
+    Rows are written once with their features, so these are made once; the patterns are counted from the few
+    columns that they need.
     """
-    quality = fit(written(features(docs, text, []).drop("_q_part"), "quality"))
-    return features(docs, text).filter((F.col("_q_part") >= 0) & ~base_failed() & (quality >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    feats = written(features(docs, text), "quality")
+    return feats.filter(~base_failed() & (fit(feats) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

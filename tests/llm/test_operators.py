@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and its defined cases."""
 
 import collections
+import functools
 import hashlib
 import html
 import itertools
@@ -215,8 +216,6 @@ def test_lm_base_and_learning(spark, documents, odd, none):
 
 def test_lm_scores_as_all_segmentations(spark, monkeypatch):
     """Every score against one made by plain recursion over all segmentations, over several blocks and hot words."""
-    import functools
-
     pieces = {"▁": 1.0, "▁a": 2.0, "a": 3.0, "b": 1.5, "ab": 0.5, "bab": 0.25, "▁ab": 0.75}
     names = list(pieces)
     start = lattice_lm.Lattice(names, lattice_lm.Lattice.normalised(names, np.array([*pieces.values(), 0.1, 0.1, 1.0, 0.0])))
@@ -361,16 +360,31 @@ def test_estimation_finds_the_accuracies():
     import random
 
     rng, counts = random.Random(1), collections.Counter()
-    rates = [(0.6, 0.01), (0.4, 0.02), (0.5, 0.005)]
-    for _ in range(20000):
-        junk = rng.random() < 0.2
-        counts[sum((0 if rng.random() < r[0 if junk else 1] else 1) * 3**j for j, r in enumerate(rates))] += 1
-    base, add = quality.estimate(counts, 3)
-    assert 0.7 < 1 / (1 + math.exp(-base)) < 0.9
-    assert all(-8 < a[0] < -2 and a[1] == 0 for a in add)
-    # kinds of junk that no other rule sees are junk still
-    base, add = quality.estimate({1 + 3 * 1: 8000, 0 + 3 * 1: 400, 1 + 3 * 0: 300}, 2)
-    assert base + add[0][0] < 0 and base + add[1][0] < 0
+    rates = [[0.02, 0.15, 0.03, 0.01, 0.03, 0.02], [0.7, 0.5, 0.8, 0.02, 0.03, 0.02], [0.02, 0.05, 0.03, 0.8, 0.5, 0.6]]  # good, two kinds of junk
+    for _ in range(40000):
+        k = rng.choices([0, 1, 2], [0.8, 0.12, 0.08])[0]
+        counts[sum((1 if rng.random() < 0.1 else 0 if rng.random() < r else 2) * 3**j for j, r in enumerate(rates[k]))] += 1
+    mass, rate = quality.estimate(counts, [(0, 1, 2), (3, 4, 5)], 6)
+    assert mass == pytest.approx([0.8, 0.12, 0.08], abs=0.03) and rate == pytest.approx(np.array(rates), abs=0.08)
+    mass10, rate10 = quality.estimate({c: 10 * n for c, n in counts.items()}, [(0, 1, 2), (3, 4, 5)], 6)
+    assert mass10 == pytest.approx(mass) and rate10 == pytest.approx(rate)  # whatever the size
+    # a rule that errs often is outvoted by its fellow, one that is right isn't
+    odds = lambda votes: math.log(mass[1] / mass[0]) + sum(math.log((rate[1][j] if v == 0 else 1 - rate[1][j]) / (rate[0][j] if v == 0 else 1 - rate[0][j])) for j, v in votes)
+    assert odds([(1, 0), (0, 2), (2, 2)]) < 0 < odds([(0, 0), (2, 0)])
+
+
+def test_verdict_is_better_than_all_must_pass(spark, sf_dir, documents):
+    feats = quality.features(documents).cache()
+    any_junk = functools.reduce(lambda a, b: a | b, [junk for junk, _ in quality._rules().values()])
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    odd = feats.filter(~quality.base_failed()).select("doc_id", (quality.fit(feats) >= 0.5).alias("kept"), (~any_junk).alias("passed")).join(labels.withColumnRenamed("quality", "label"), "doc_id").collect()
+    assert len(odd) > 50 and sum(r.kept == bool(r.label) for r in odd) >= max(0.97 * len(odd), sum(r.passed == bool(r.label) for r in odd))
+    # long texts with a small vocabulary, and texts with a repeated passage, are good to all rules but one
+    prose = lambda k: " ".join(f"word{(k * 7 + i * i * 13) % 600}" for i in range(60)) + ".\n"
+    docs = [(k, "".join(prose(k + j) for j in range(4))) for k in range(300)] + [(1000 + k, " ".join(f"ab{(k + i) % 9}$$$ ##" for i in range(60))) for k in range(30)] + [(2000 + k, ("again and again " * 40)) for k in range(30)]
+    docs += [(5000, "".join(prose(0) for j in range(1)) + "".join(prose(j) for j in range(50, 54)) + prose(0))]  # 120 of 360 words stand twice
+    got = {r.doc_id: r for r in quality.score_quality(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[k].kept for k in range(300)) and not any(r.kept for k, r in got.items() if 1000 <= k < 5000)
 
 
 # 8
