@@ -3,37 +3,43 @@
 Texts become token sequences in three readings. In the EXACT one every token is its lower-cased word. In
 the others numbers, units (after a number) and names are typed placeholders: INSIDE has as names the
 capitalised words inside a sentence, CAPITALS those that begin one as well, and there a name of several
-words is one slot. Hashes of windows of WINDOW tokens of the benchmark are joined with those of the
-documents, reading by reading; on each alignment the windows that follow each other make a run, which
-must hold slot consistency: one benchmark value stands for one document value and back (a name may be
-shortened to a part of it). A run of at least LEAST tokens (or of all of a shorter item) is a leak, so a
-question with other numbers and names is caught and unrelated texts that share a frame with clashing
-slots are not. Windows with placeholders must hold LITERALS literal tokens (all of a shorter item's, if it
-has fewer tokens); exact ones needn't, so a copy is found whatever it consists of.
-
-The benchmark's windows are the small side. They are counted first and broadcast in blocks of at most
-BLOCK windows in all readings (about 16 MB each); a larger benchmark runs block by block against all documents.
+words is one slot. Windows of WINDOW tokens (shorter items: of all their tokens) of the benchmark are
+hash-joined with those of the documents, reading by reading; on each alignment the windows that follow
+each other make a run, which must hold slot consistency: one benchmark value stands for one document
+value and back (a name may be shortened to a part of it). A run of at least LEAST tokens (or of all of a
+shorter item) is a leak, so a question with other numbers and names is caught and unrelated texts that
+share a frame with clashing slots are not. Exact windows always count, so a copy is found whatever it
+consists of; windows with placeholders count with LITERALS literal tokens (those of shorter items: with two).
+
+Plan: both sides' windows are DataFrames, written once. Documents' windows are made where the texts lie
+and leave there only if a bitmap of the benchmark's hashes has them (a kilobit a hash, at most 32 MB;
+beyond 250,000 hashes it lets more windows through, which the join drops). What is left is
+joined on the hash, and the windows of one text and item are checked in order as they stream by.
 
 Defined cases: null and empty texts (either side) match nothing; items without a token match nothing;
 null ids and repeated rows are reported row by row; an empty table on either side gives no leaks;
-texts are scanned whole; other input columns aren't read.
+texts are scanned whole, one text at a time; other input columns aren't read.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm._common import ship
+from tessera.llm._common import ship, written
 
-WINDOW, LEAST, LITERALS, BLOCK, CACHE = 8, 10, 4, 1_000_000, 400_000
+WINDOW, LEAST, LITERALS, CACHE = 8, 10, 3, 400_000
+LEAST_BITS, MOST_BITS, PAGE = 20, 28, 15
 UNITS = frozenset(b"% percent km m cm mm mi mile miles ft foot feet inch inches in yd yards kg g mg lb lbs pound pounds oz ounce ounces ton tons l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hrs hour hours day days week weeks month months year years dollar dollars cent cents usd eur euro euros degrees mph kmh kb mb gb tb".split())
 NUMBER = re.compile(rb"[+-]?\d[\d.,:/]*%?\Z")
 GLUED = re.compile(rb"(\d)(?=(?:%|km|cm|mm|mi|ft|kg|mg|lbs?|oz|ml|hrs?|mph|kmh|kb|mb|gb|tb|m|g|l|s|h)(?![A-Za-z0-9]))", re.I)
@@ -110,10 +116,10 @@ def window_hashes(sym: np.ndarray, size: int, reading: int) -> tuple[np.ndarray,
     if reading == EXACT:
         return h, np.ones(n, bool)
     literal = np.concatenate(([0], np.cumsum(sym > 3)))
-    return h, literal[size:] - literal[:-size] >= min(LITERALS, size)
+    return h, literal[size:] - literal[:-size] >= min(LITERALS if size == WINDOW else 2, size)
 
 
-def _same(a: bytes, b: bytes) -> bool:
+def _same(a: str, b: str) -> bool:
     """Equal values, or a name and a part of it."""
     if a == b:
         return True
@@ -121,152 +127,182 @@ def _same(a: bytes, b: bytes) -> bool:
     return x <= y or y <= x
 
 
-class Templates:
-    """A block of the benchmark: window hashes of each reading in order, and where each stands."""
-
-    def __init__(self, items: list[tuple[object, bytes]], size: int = WINDOW):
-        codes = _Codes()
-        #: id, raw words, where the symbols of the reading begin, window size
-        self.items: list[tuple[object, list[bytes], np.ndarray, int]] = []
-        at: dict[int, list[tuple[int, int]]] = {}
-        self.sizes: set[tuple[int, int]] = set()
-        for item, text in items:
-            raw, read = readings(text, codes)
-            for kind, (sym, begins) in enumerate(read):
-                w = min(size, len(sym))
-                self.sizes.add((kind, w))
-                h, ok = window_hashes(sym, w, kind)
-                self.items.append((item, raw, begins, w))
-                for p in np.flatnonzero(ok).tolist():
-                    at.setdefault(int(h[p]), []).append((len(self.items) - 1, p))
-        self.hashes = np.array(sorted(at), np.uint64)
-        self.where = [at[int(h)] for h in self.hashes]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def leaks(self, text: bytes, codes: _Codes) -> list[tuple]:
-        """(item, first token, end token, changed slots) of the runs of one text.
-
-        Of one item's runs in several readings those that lie within another reading's are left out.
-        """
-        if not len(self.hashes) or not text:
-            return []
-        raw, read = readings(text, codes)
-        if not raw:
-            return []
-        runs: dict[tuple[int, int], list[int]] = {}
-        for kind, w in self.sizes:
-            h, ok = window_hashes(read[kind][0], w, kind)
-            if not len(h):
-                continue
-            maybe = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)] & ok)
-            if not len(maybe):
-                continue
-            k = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-            hit = self.hashes[k] == h[maybe]
-            for p, j in zip(maybe[hit].tolist(), k[hit].tolist()):
-                for item, q in self.where[j]:
-                    if self.items[item][3] == w:
-                        runs.setdefault((item, p - q), []).append(p)
-        of: dict[int, list[tuple]] = {}
-        for (item, shift), starts in runs.items():
-            kind = item % READINGS
-            of.setdefault(item // READINGS, []).extend((kind, x) for x in self._consistent(item, shift, sorted(starts), *read[kind], raw))
+def windows_of(text: bytes, codes: _Codes, sizes: Iterable[tuple[int, int]] | None = None, known=None) -> Iterator[tuple]:
+    """(reading, size, position, hash, symbols in the reading, raw word at which each symbol and the end begin, slots).
+
+    sizes: readings and window sizes (all readings in windows of up to WINDOW when None); known: which of an
+    array of hashes are wanted. A slot is the placeholder and its value, None where a literal stands.
+    """
+    raw, read = readings(text, codes)
+    for kind, size in [(k, min(WINDOW, len(x[0]))) for k, x in enumerate(read)] if sizes is None else sizes if raw else ():
+        sym, begins = read[kind]
+        h, ok = window_hashes(sym, size, kind)
+        if known is not None and len(h):
+            ok = ok & known(h)
+        for p in np.flatnonzero(ok).tolist():
+            slots = [f"{int(x)} {_value(raw, begins, p + k)}" if x <= NAME else None for k, x in enumerate(sym[p : p + size].tolist())]
+            yield kind, size, p, int(h[p].astype(np.int64)), len(sym), begins[p : p + size + 1].tolist(), slots
+
+
+def _value(raw: list[bytes], begins: np.ndarray, p: int) -> str:
+    return b" ".join(x.strip(EDGE) for x in raw[begins[p] : begins[p + 1]]).decode("utf-8", "replace").lower()
+
+
+def runs_of(matches: Iterable[tuple]) -> list[tuple[int, int, int]]:
+    """(first word, end word, changed slots) of the runs of one text and one item.
+
+    matches: (reading, size, p, q, symbols of the item, begins, slots at p, slots at q) of their equal windows.
+    Of runs in several readings those that lie within another reading's are left out.
+    """
+    by: dict[tuple, list[tuple]] = {}
+    for m in matches:
+        by.setdefault((m[0], m[2] - m[3]), []).append(m)
+    found = [(kind, x) for (kind, _), ms in by.items() for x in _consistent(sorted(ms, key=lambda m: m[2]))]
+    kept: list[tuple] = []
+    for kind, x in sorted(found, key=lambda f: (f[1][0] - f[1][1], f[1][2], f[0])):
+        if not any(k != kind and y[0] <= x[0] and x[1] <= y[1] for k, y in kept):
+            kept.append((kind, x))
+    return [x for _, x in kept]
+
+
+def _consistent(ms: list[tuple]) -> Iterator[tuple[int, int, int]]:
+    """Runs of one alignment, whose windows stand in order."""
+    size, symbols = ms[0][1], ms[0][4]
+    starts = [m[2] for m in ms]
+    begins = {m[2] + k: x for m in ms for k, x in enumerate(m[5])}
+    slots = {m[2] + k: (a, b) for m in ms for k, (b, a) in enumerate(zip(m[6], m[7])) if b is not None}
+    need, k = min(LEAST, symbols), 0
+    while k < len(starts):
+        first = end = starts[k]
+        to: dict[str, str] = {}
+        back: dict[str, str] = {}
+        changed, clash = 0, None
+        while k < len(starts) and starts[k] <= end and clash is None:
+            for p in range(end, starts[k] + size):
+                if p in slots:
+                    a, b = slots[p]
+                    if not _same(to.setdefault(a, b), b) or not _same(back.setdefault(b, a), a):
+                        clash = p
+                        break
+                    changed += a != b
+                end = p + 1
+            else:
+                k += 1
+        if end - first >= need:
+            yield begins[first], begins[end], changed
+        if clash is not None:  # begin anew with the windows after the run's first that reach the clash
+            k = bisect_right(starts, max(first, clash - size))
+
+
+_COLUMNS = "row bigint, {id}, kind int, size int, p int, h bigint, symbols int, begins array<int>, slots array<string>"
+_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string())]
+
+
+def _windows(texts: DataFrame, ids: str, name: str, sizes: list[tuple[int, int]] | None = None, bits=None) -> DataFrame:
+    """Window rows of (id columns ..., text), written: `row` numbers the texts. ids: the schema of the id columns."""
+    id_types = [to_arrow_type(f.dataType) for f in texts.schema.fields[:-1]]
+    schema = _COLUMNS.replace("{id}", ids)
+    names = ["row", *texts.columns[:-1], "kind", "size", "p", "h", "symbols", "begins", "slots"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, row, known = _Codes(), TaskContext.get().partitionId() << 33, None
+        if bits is not None:
+            page = np.frombuffer(bits.value[1], np.uint8)
+            shift = np.uint64(64 - bits.value[0])
+
+            def known(h: np.ndarray) -> np.ndarray:
+                at = h >> shift
+                return (page[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+        def out(rows: list[tuple], of: list[int], b: pa.RecordBatch, at: list[int]) -> pa.RecordBatch:
+            take = pa.array(at, pa.int64())
+            ids = [b.column(k).take(take).cast(t) for k, t in enumerate(id_types)]
+            return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *ids, *[pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]], names)
+
+        for b in batches:
+            rows, of, at = [], [], []
+            for i, t in enumerate(b.column(b.num_columns - 1).cast(pa.binary())):
+                for x in windows_of(t.as_py() or b"", codes, sizes, known):
+                    rows.append(x), of.append(row), at.append(i)
+                row += 1
+                if len(rows) >= 20_000:
+                    yield out(rows, of, b, at)
+                    rows, of, at = [], [], []
+            if rows:
+                yield out(rows, of, b, at)
+
+    return written(texts.mapInArrow(run, schema), name)
+
+
+def _bitmap(windows: DataFrame):
+    """(bits of a bucket number, bitmap of the buckets that hold a hash) of the windows' hashes: 32 MB at most."""
+    n = windows.count()
+    width = min(MOST_BITS, max(LEAST_BITS, n.bit_length() + 10))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pages = []
+            for x in b.column(1):
+                flags = np.zeros(1 << PAGE, bool)
+                flags[x.values.to_numpy()] = True
+                pages.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pages, pa.binary())], ["page", "bits"])
+
+    bucket = windows.select(F.shiftrightunsigned("h", 64 - width).alias("b")).distinct()
+    pages = bucket.groupBy(F.shiftright("b", PAGE).cast("int").alias("page")).agg(F.collect_set((F.col("b") % (1 << PAGE)).cast("int")).alias("in"))
+    out = bytearray(1 << width - 3)
+    for page, part in pages.mapInArrow(pack, "page int, bits binary").toLocalIterator():
+        out[page << PAGE - 3 : page + 1 << PAGE - 3] = part
+    return width, bytes(out)
+
+
+def _matches(docs: DataFrame, keys: dict[str, Column], text: str, benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """The columns `keys` of each text, _item, and first, end and changed of each run."""
+    spark = docs.sparkSession
+    ship(spark)
+    items = benchmark.select(F.col(f"`{item_id}`").alias("_item"), F.col(f"`{item_text}`").alias("_text"))
+    kind = items.schema["_item"].dataType.simpleString()
+    theirs = _windows(items, f"_item {kind}", "benchmark-windows")
+    sizes = sorted(map(tuple, theirs.select("kind", "size").distinct().collect()))  # at most READINGS * WINDOW
+    own = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(f"`{text}`").alias("_text"))
+    ids = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys)
+    ours = _windows(own, ids, "document-windows", sizes, spark.sparkContext.broadcast(_bitmap(theirs)))
+    join = theirs.select("h", "kind", "size", F.col("row").alias("item"), "_item", F.col("p").alias("q"), F.col("symbols").alias("of"), F.col("slots").alias("there"))
+    both = ours.drop("symbols").join(join, ["h", "kind", "size"]).select("row", "item", *keys, "_item", "kind", "size", "p", "q", "of", "begins", "slots", "there")
+    both = both.repartition("row", "item").sortWithinPartitions("row", "item")
+    names = [*keys, "_item", "first", "end", "changed"]
+    types = [to_arrow_type(both.schema[k].dataType) for k in names[:-3]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for k in range(0, b.num_rows, 1000) for r in zip(*(c.to_pylist() for c in b.slice(k, 1000).columns)))
         out = []
-        for found in of.values():
-            kept: list[tuple] = []
-            for kind, x in sorted(found, key=lambda f: (f[1][1] - f[1][2], f[1][3], f[0])):
-                if not any(k != kind and y[1] <= x[1] and x[2] <= y[2] for k, y in kept):
-                    kept.append((kind, x))
-            out += [x for _, x in kept]
-        return out
-
-    def _consistent(self, item: int, shift: int, starts: list[int], sym: np.ndarray, begins: np.ndarray, raw: list[bytes]) -> list[tuple]:
-        name, theirs, at, w = self.items[item]
-        need = min(LEAST, len(at) - 1)
-        out, k = [], 0
-        while k < len(starts):
-            first = end = starts[k]
-            to: dict[tuple[int, bytes], bytes] = {}
-            back: dict[tuple[int, bytes], bytes] = {}
-            changed, clash = 0, None
-            while k < len(starts) and starts[k] <= end and clash is None:
-                for p in range(end, starts[k] + w):
-                    kind = int(sym[p])
-                    if kind <= NAME:
-                        a, b = _value(theirs, at, p - shift), _value(raw, begins, p)
-                        if not _same(to.setdefault((kind, a), b), b) or not _same(back.setdefault((kind, b), a), a):
-                            clash = p
-                            break
-                        changed += a != b
-                    end = p + 1
-                else:
-                    k += 1
-            if end - first >= need:
-                out.append((name, int(begins[first]), int(begins[end]), changed))
-            if clash is not None:  # begin anew with the windows after the run's first that reach the clash
-                k = bisect_right(starts, max(first, clash - w))
-        return out
-
-
-def _value(raw: list[bytes], begins: np.ndarray, p: int) -> bytes:
-    return b" ".join(x.strip(EDGE).lower() for x in raw[begins[p] : begins[p + 1]])
-
-
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK) -> Iterator[list[tuple[object, bytes]]]:
-    """The benchmark in blocks of at most `most` words, counted once a reading (one item at least), streamed to the driver."""
-    block, size = [], 0
-    rows = benchmark.select(F.col(f"`{item_id}`"), F.col(f"`{text}`")).filter(F.col(f"`{text}`").isNotNull())
-    for item, t in rows.orderBy(item_id, text).toLocalIterator():
-        n = READINGS * len(t.split())
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((item, t.encode()))
-        size += n
-    if block:
-        yield block
+        for _, group in groupby(rows, key=lambda r: r[:2]):
+            group = list(group)
+            out += [(*group[0][2 : 2 + len(types)], *x) for x in runs_of(r[2 + len(types) :] for r in group)]
+            if len(out) >= 10_000:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*types, *[pa.int64()] * 3))], names)
+
+    return both.mapInArrow(run, f"{ids}, _item {kind}, first bigint, end bigint, changed bigint")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per run: id, item, first_token, n_tokens, n_changed (slots with another value)."""
-    spark = docs.sparkSession
-    ship(spark)
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-    item_type = pa.int64() if item_kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
-    schema = f"`{id_col}` {kind}, `{item_id}` {'bigint' if item_type == pa.int64() else 'string'}, first_token bigint, n_tokens bigint, n_changed bigint"
-    out = None
-    for block in blocks_of(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(Templates(block))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            templates, codes = shared.value, _Codes()
-            for b in batches:
-                rows, at = [], []
-                for i, t in enumerate(b.column(1).cast(pa.binary())):
-                    for x in templates.leaks(t.as_py() or b"", codes):
-                        at.append(i), rows.append(x)
-                cols = list(zip(*rows)) or [(), (), (), ()]
-                items = cols[0] if item_type == pa.int64() else [None if x is None else str(x) for x in cols[0]]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(items, item_type), pa.array(cols[1], pa.int64()), pa.array([e - f for f, e in zip(cols[1], cols[2])], pa.int64()), pa.array(cols[3], pa.int64())], [id_col, item_id, "first_token", "n_tokens", "n_changed"])
-
-        part = docs.select(f"`{id_col}`", f"`{text}`").mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    found = _matches(docs, {"_id": F.col(f"`{id_col}`")}, text, benchmark, item_id, item_text)
+    return found.select(F.col("_id").alias(id_col), F.col("_item").alias(item_id), F.col("first").alias("first_token"), (F.col("end") - F.col("first")).alias("n_tokens"), F.col("changed").alias("n_changed"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The input's rows and columns without texts that hold a leak."""
-    spark = docs.sparkSession
-    ship(spark)
-    at = docs.columns.index(text)
-    for block in blocks_of(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(Templates(block))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            templates, codes = shared.value, _Codes()
-            for b in batches:
-                yield b.filter(pa.array([not templates.leaks(t.as_py() or b"", codes) for t in b.column(at).cast(pa.binary())], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The input's rows and columns without texts that hold a leak.
+
+    Whether a text leaks depends on the text alone, so the rows are found again by 128 bits of its hash.
+    """
+    t = F.col(f"`{text}`")
+    keys = {"_a": F.xxhash64(t), "_b": F.xxhash64(F.lit(7), t)}
+    gone = written(_matches(docs, keys, text, benchmark, item_id, item_text).select("_a", "_b").distinct(), "leaks")
+    return docs.join(gone, (keys["_a"] == gone["_a"]) & (keys["_b"] == gone["_b"]), "left_anti")

@@ -287,8 +287,8 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(d, b.limit(0)).count() == decontaminate.find_leaks(d.limit(0), b).count() == 0
 
 
-def test_leaks_as_plain_ngrams(spark, sf_dir, documents):
-    """Without numbers and names, a leak is a run of equal tokens."""
+def test_leaks_as_brute_force(spark, sf_dir, documents):
+    """Both ways: the leaks are those of every text compared with every item that shares a window of words with it."""
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     toks = lambda t: [w for w in (x.strip(decontaminate.EDGE.decode()).lower() for x in t.split()) if w]
     grams = collections.defaultdict(set)
@@ -296,20 +296,45 @@ def test_leaks_as_plain_ngrams(spark, sf_dir, documents):
         w = toks(r.text)
         for k in range(len(w) - 9):
             grams[tuple(w[k : k + 10])].add(r.item_id)
-    want = {(r.doc_id, i) for r in documents.collect() for w in [toks(r.text)] for k in range(len(w) - 9) for i in grams.get(tuple(w[k : k + 10]), ())}
-    assert want and want <= {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(documents, b).collect()}
+    docs = {r.doc_id: r.text for r in documents.collect()}
+    exact = {(d, i) for d, t in docs.items() for w in [toks(t)] for k in range(len(w) - 9) for i in grams.get(tuple(w[k : k + 10]), ())}
+    got = collections.defaultdict(list)
+    for r in decontaminate.find_leaks(documents, b).collect():
+        got[r.doc_id, r.item_id].append((1, r.first_token, r.first_token + r.n_tokens, r.n_changed))
+    assert exact and exact <= set(got)
+    want = {}
+    for d in sorted(docs)[:40] + sorted({d for d, _ in got})[:10]:
+        for r in b.collect():
+            if x := leaks_of(r.text, docs[d]):
+                want[d, r.item_id] = sorted(x)
+    some = {d for d, _ in want} | set(sorted(docs)[:40])
+    assert {k: sorted(v) for k, v in got.items() if k[0] in some} == want
 
 
 def leaks_of(item, text):
-    return decontaminate.Templates([(1, item.encode())]).leaks(text.encode(), decontaminate._Codes())
+    codes, at = decontaminate._Codes(), collections.defaultdict(list)
+    for kind, size, q, h, of, _, there in decontaminate.windows_of(item.encode(), codes):
+        at[kind, size, h].append((q, of, there))
+    ours = decontaminate.windows_of(text.encode(), codes, sorted({x[:2] for x in at}), lambda h: np.isin(h.astype(np.int64), [x[2] for x in at]))
+    return [(1, *x) for x in decontaminate.runs_of((kind, size, p, q, of, begins, slots, there) for kind, size, p, h, _, begins, slots in ours for q, of, there in at.get((kind, size, h), ()))]
 
 
 def test_copies_with_few_literals_leak():
-    for item in ("Compute 12 + 30 / 4 and 7 * 8 then 9", "WHAT IS THE CAPITAL OF FRANCE AND WHICH RIVER RUNS THROUGH IT", "What is 12 times 7?"):
+    for item in ("Compute 12 + 30 / 4 and 7 * 8 then 9", "WHAT IS THE CAPITAL OF FRANCE AND WHICH RIVER RUNS THROUGH IT", "What is 12 times 7?", "What is 5 plus 7?", "Compute 12 * 7 + 3 and 9", "Ann has 3 kg and Bob has 5 kg", "Tom has 3 apples"):
         n = len([w for w in item.encode().split() if w.strip(decontaminate.EDGE)])
         assert leaks_of(item, f"We ask you this: {item} So much for that.") == [(1, 4, 4 + n, 0)]
         assert leaks_of(item, f"so {item}") == [(1, 1, 1 + n, 0)]
-    assert not leaks_of("What is 12 times 7?", "What is 13 times 7?") and not leaks_of("What is 12 times 7?", "What is 12")
+    assert not leaks_of("What is 12 times 7?", "What is 12")
+
+
+def test_short_items_leak_with_other_values():
+    for item, text in (
+        ("What is 5 plus 7?", "What is 13 plus 22?"), ("Compute 12 * 7 + 3 and 9", "Compute 4 * 8 + 2 and 6"), ("Ann has 3 kg and Bob has 5 kg", "Eve has 9 kg and Kim has 2 kg"),
+        ("Tom has 3 apples", "Ann has 8 apples"), ("Natalia sold 48 clips in April to Ken.", "Maria sold 62 clips in May to Tom."),
+    ):
+        assert [x[0] for x in leaks_of(item, text)] == [1] and leaks_of(item, text)[0][3] >= 2
+    assert not leaks_of("Ann has 3 kg and Bob has 5 kg", "Eve has 9 kg and Eve has 2 kg")  # two names have become one
+    assert not leaks_of("What is 5 plus 7?", "What is 5 minus 7?") and not leaks_of("Tom has 3 apples", "Tom has 3 pears")
 
 
 def test_names_that_begin_sentences_leak():
