@@ -209,10 +209,15 @@ def _windows(texts: DataFrame, ids: str, name: str, sizes: list[tuple[int, int]]
         if bits is not None:
             page = np.frombuffer(bits.value[1], np.uint8)
             shift = np.uint64(64 - bits.value[0])
+            coarse = np.unpackbits(page, bitorder="little").reshape(1 << LEAST_BITS, -1).any(axis=1)  # fits a core's cache
 
             def known(h: np.ndarray) -> np.ndarray:
-                at = h >> shift
-                return (page[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                out = coarse[(h >> np.uint64(64 - LEAST_BITS)).astype(np.int64)]
+                maybe = np.flatnonzero(out)
+                if len(maybe):
+                    at = h[maybe] >> shift
+                    out[maybe] = (page[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                return out
 
         def out(rows: list[tuple], of: list[int], b: pa.RecordBatch, at: list[int]) -> pa.RecordBatch:
             take = pa.array(at, pa.int64())
