@@ -11,11 +11,15 @@ WITH rows_ AS (
       || replace(replace(replace(text, '\', '\b'), '<', '\l'), '>', '\g') || '</turn>' || chr(10)) AS len
   FROM rows_
 ), costed AS (
-  SELECT *, pos = 1 AND role = 'system' AS is_sys, CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE CAST(ceil(len / 4.0) AS BIGINT) END AS cost FROM placed
+  SELECT *, pos = 1 AND role = 'system' AS is_sys, CAST(ceil(len / 4.0) AS BIGINT) AS whole FROM placed
+), headed AS (
+  SELECT *, CASE WHEN is_sys THEN 0 ELSE whole END AS cost,
+    greatest((512 - max(CASE WHEN is_sys THEN whole ELSE 0 END) OVER (PARTITION BY conv_id)) / 2.0, 0.5) AS unit FROM costed
 ), summed AS (
-  SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY pos) - cost AS from_ FROM costed
+  SELECT *, sum(cost) OVER upto - cost AS from_, sum(CASE WHEN cost > unit THEN 1 ELSE 0 END) OVER upto AS bigs
+  FROM headed WINDOW upto AS (PARTITION BY conv_id ORDER BY pos)
 ), cut AS (
-  SELECT *, CAST(floor(from_ / 512.0) AS BIGINT) AS w FROM summed
+  SELECT *, CASE WHEN cost > unit THEN [bigs * 2 - 1, 0] ELSE [bigs * 2, floor(from_ / unit)] END AS w FROM summed
 ), spans AS (
   SELECT conv_id, w, max(from_ + cost) AS end_ FROM cut GROUP BY conv_id, w
 ), used AS (

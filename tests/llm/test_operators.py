@@ -433,6 +433,21 @@ def test_chat_windows(spark):
     assert sum(r.text.count("\\### A") for r in many) == 0 and chat_format.format_chat(df.limit(0)).count() == 0
 
 
+def test_chat_windows_keep_their_budget(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    counted = turns.withColumn("n", (F.length("text") % 37 + 5).cast("int"))
+    for df, column, span, history in ((turns, None, 512, 128), (turns, None, 100, 40), (counted, "n", 64, 16)):
+        rows = chat_format.format_chat(df, span=span, history=history, tokens=column).collect()
+        assert all(r.n_tokens <= span + history or r.over_budget for r in rows)
+        for r in rows:
+            parts = [x for x in r.text[r.new_from :].split("</turn>\n") if x]
+            assert not r.over_budget or len([x for x in parts if not x.startswith("<turn system>")]) <= 1  # one turn that is too long
+            if column is None:
+                each = [-(-(len(x) + len("</turn>\n")) // 4) for x in r.text.split("</turn>\n") if x]
+                assert r.n_tokens == sum(each)
+        assert sum(r.over_budget for r in rows) < len(rows) / 2 and len({r.window for r in rows}) > 1
+
+
 # 9
 def shingle_set(text):
     w = text.encode().translate(LOW).split()
