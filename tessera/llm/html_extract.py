@@ -8,8 +8,8 @@ markup names as something else (menus, headers, footers, asides, adverts, notice
 scripts, styles) score nothing and give no text, unless they hold the page's own main text (see tokens()).
 Elements end where HTML has them end: p, li, dt, dd and parts of tables without end tags too.
 
-The weights are fitted on at most `sample` pages, chosen by a hash of the page (a documented bound);
-all pages are extracted, whole.
+The weights are fitted on at most `sample` different pages of up to MOST_BYTES each, chosen by a hash of
+the page (documented bounds); all pages are extracted, whole.
 
 Text: character references decoded; white space inside a block (`<br>` included) becomes one space,
 trimmed; blocks are joined in page order by two line feeds.
@@ -26,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,18 +34,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import ship
 
-SAMPLE_PAGES = 2000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title|svg|math|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z!?][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+SAMPLE_PAGES, MOST_BYTES = 2000, 200_000
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z!?][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 OUT = frozenset("nav header footer aside form menu dialog button head label fieldset".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-OUT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsbygoogle|banner|sponsor(?:ed)?|promos?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side|menus?|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
+#: Words of class and id names by which markup says that an element isn't main text, and those that may stand beside them.
+OUT_WORDS = frozenset("ad ads advert adverts advertisement advertisements adsbygoogle banner sponsor sponsored promo promos cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments respond replies disqus share sharing social related recommended newsletter subscribe signup login search widget pagination pager toolbar skip".split())
+ASIDE_WORDS = frozenset("comment comments respond replies disqus related recommended".split())
+BESIDE = frozenset("site page main global top bottom left right box bar block container wrapper wrap list section area link links post posts article articles story stories item items form inner outer primary secondary user reader reading entry js wp the to fixed sticky mobile desktop button buttons icon icons media text message slot unit col column row".split())
+SPLIT = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Elements that may enclose the whole page: never left out for their names.
 WHOLE = frozenset(("html", "body", "main", "article"))
 MARKED = re.compile(r"itemprop\s*=\s*[\"']?articleBody|role\s*=\s*[\"']?main\b", re.I)
-ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|respond|replies|disqus|related|recommended)(?:$|[\s_-])", re.I)
 NAMED, ASIDE, HARD = 1, 2, 3
 TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
 _LISTS = ("ul", "ol", "menu", "dl", "table", "td", "th", "article", "section", "main", "aside", "nav", "blockquote")
@@ -57,6 +61,17 @@ ENDS = {
 INLINE_TAG, DEFAULT_TAG, MOST = -0.25, -2.0, 40.0
 
 
+@lru_cache(4096)
+def _named(value: str) -> int:
+    """What class or id names say: a name must consist of known words, so `related-work` or `side-by-side` say nothing."""
+    sure = 0
+    for name in value.split():
+        parts = {p.lower() for p in SPLIT.split(name) if p and not p.isdigit()}
+        if parts & OUT_WORDS and parts <= OUT_WORDS | BESIDE:
+            sure = max(sure, ASIDE if parts & ASIDE_WORDS else NAMED)
+    return sure
+
+
 def _out(tag: str, attributes: str) -> int:
     """How sure markup is that an element isn't main text: 0, NAMED, ASIDE (what readers add or are led to) or HARD."""
     if tag in OUT:
@@ -70,8 +85,8 @@ def _out(tag: str, attributes: str) -> int:
             return HARD
         if name == "role" and value.lower() in OUT_ROLES:
             return HARD
-        if name in ("class", "id") and OUT_NAMES.search(value):
-            sure = max(sure, ASIDE if ASIDE_NAMES.search(value) else NAMED)
+        if name in ("class", "id") and (named := _named(value)):
+            sure = max(sure, named)
     return sure
 
 
@@ -252,6 +267,10 @@ def fit_weights(pages: list[str]) -> tuple[float, dict[str, float]]:
     seen = Counter()
     for p in pages:
         seen.update(count_labelled(p) or {})
+    return weights_of(seen)
+
+
+def weights_of(seen: Counter) -> tuple[float, dict[str, float]]:
     words_in = seen[("in", "")]
     if not words_in:
         return 1.0, {}
@@ -273,12 +292,29 @@ def extract(page: str | None, weights: tuple[float, dict[str, float]]) -> str:
     return blocks(toks[a:b])
 
 
+def _sampled_counts(pages: DataFrame, sample: int) -> Counter:
+    """Token counts of the `sample` labelled pages with the smallest hashes: the hashes are picked first (8 bytes a
+    page), those pages are counted on the executors, and the driver gets a count for each tag."""
+    marked = pages.select("h", F.xxhash64("h").alias("k")).filter((F.octet_length("h") <= MOST_BYTES) & F.col("h").rlike(r"(?i)<article|<main|role\s*=\s*.?main|articlebody"))
+    keys = marked.select("k").distinct().orderBy("k").limit(sample)
+    chosen = marked.join(F.broadcast(keys), "k").groupBy("k").agg(F.max("h").alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter()
+        for b in batches:
+            for h in b.column(0):
+                seen.update(count_labelled(h.as_py()) or {})
+        keys = [k if isinstance(k, tuple) else (k, None) for k in seen]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], ["place", "tag", "n"])
+
+    rows = chosen.select("h").mapInArrow(run, "place string, tag string, n bigint").groupBy("place", "tag").agg(F.sum("n").alias("n")).collect()
+    return Counter({place if tag is None else (place, tag): n for place, tag, n in rows})
+
+
 def extract_html(pages: DataFrame, id_col: str = "page_id", markup: str = "html", keep: tuple[str, ...] = ("url",), sample: int = SAMPLE_PAGES) -> DataFrame:
     """One row per input row: id, the columns of `keep`, text, n_chars (code points)."""
     ship(pages.sparkSession)
-    marked = pages.select(F.col(f"`{markup}`").alias("h")).filter(F.lower("h").rlike(r"<article|<main|role\s*=\s*.?main|articlebody"))
-    chosen = marked.select("h", F.xxhash64("h").alias("k")).filter(F.octet_length("h") <= 200_000).orderBy("k").limit(sample)
-    weights = fit_weights([r[0] for r in chosen.select("h").collect()])  # at most `sample` pages of 200 kB
+    weights = weights_of(_sampled_counts(pages.select(F.col(f"`{markup}`").alias("h")), sample))
     kept = [id_col, *keep]
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
 
