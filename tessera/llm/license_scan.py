@@ -7,8 +7,10 @@ any-word moves). A text matches where mandatory wording stands exactly, in order
 words left out and only replaceable ones changed. Automata start at the places of their first word
 pair, found by a search of the text, so texts without one cost a tokenisation.
 
-Labels are those of matched templates and of three fixed phrases (see PHRASES); score is the highest
-confidence among them: full texts 1.0, notices 0.9, phrases 0.6, no label 0.
+Templates are whole license texts (those of the GNU, Mozilla and CC0 licenses in the folder licenses, as
+words; of the Apache license its notice, with which its text ends, and its title) and notices that refer to them. Labels are those of
+matched templates and of three fixed phrases (see PHRASES); score is the highest confidence among
+them: whole texts 1.0, notices and the granting part of a text 0.9, names with a version 0.8, phrases 0.6, no label 0.
 
 Defined cases: null and empty texts have no words, labels "" and score 0; null ids and repeated rows
 are kept row by row; whole texts are scanned, whatever their length; an empty table gives an empty
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,31 +31,44 @@ from tessera.llm._common import ship
 #: A-Z to a-z; [\x00-\x2F\x3A-\x60\x7B-\x7F] to a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+_AS_IS = "is provided {{0-8}} as is {{0-1}} and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{1-12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software [[and to permit persons to whom the software is furnished to do so]] subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"
+_ISC = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+_BSD_2 = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_3 = _BSD_2 + " [[3]] neither the name of {{1-12}} nor the names of {{1-3}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_APACHE = "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"
+_GNU = [(name, kind, v) for name, kind, versions in (("gpl", "general", "1 2 3"), ("lgpl", "lesser general", "2.1 3"), ("lgpl", "library general", "2"), ("agpl", "affero general", "3")) for v in versions.split()]
 #: (label, confidence, wording)
 TEMPLATES: list[tuple[str, float, str]] = [
     ("mit", 0.9, "[[this {{1-4}} is]] {{0-1}} under the mit license"),
     ("mit", 0.9, "[[spdx]] license identifier mit"),
-    ("mit", 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software [[and to permit persons to whom the software is furnished to do so]] subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"),
-    ("isc", 1.0, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mit", 0.9, _MIT),
+    ("mit", 1.0, _MIT + " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and [[noninfringement]] [[non infringement]] in no event shall {{1-8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", 0.9, _ISC),
+    ("isc", 1.0, _ISC + " the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("apache-2", 0.9, "licensed under [[the]] apache license [[version]] 2 [[0]]"),
     ("apache-2", 0.9, "[[spdx]] license identifier apache 2 0"),
-    ("apache-2", 1.0, "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", 0.9, _APACHE),
+    ("apache-2", 1.0, _APACHE + " {{3-8}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("bsd-2-clause", 0.9, "[[spdx]] license identifier bsd 2 clause"),
     ("bsd-3-clause", 0.9, "[[spdx]] license identifier bsd 3 clause"),
-    ("bsd-2-clause", 1.0, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by"),
-    ("bsd-3-clause", 1.0, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of {{1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("gpl-2", 0.9, "under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
-    ("gpl-3", 0.9, "under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
-    ("gpl-2", 0.9, "[[spdx]] license identifier gpl 2 0"),
-    ("gpl-3", 0.9, "[[spdx]] license identifier gpl 3 0"),
-    ("lgpl-3", 0.9, "under the [[terms of the]] gnu lesser general public license [[as published by the free software foundation]] [[either]] version 3"),
-    ("agpl-3", 0.9, "under the [[terms of the]] gnu affero general public license [[as published by the free software foundation]] [[either]] version 3"),
+    ("bsd-2-clause", 0.9, _BSD_2 + " this software is provided by"),
+    ("bsd-2-clause", 1.0, _BSD_2 + " this software " + _AS_IS),
+    ("bsd-3-clause", 0.9, _BSD_3),
+    ("bsd-3-clause", 1.0, _BSD_3 + " this software " + _AS_IS),
+    *[(f"{name}-{v}", 0.9, f"under [[the]] [[terms of the]] [[the]] gnu {kind} public license [[as published by the free software foundation]] [[either]] version {v.replace('.', ' ')}") for name, kind, v in _GNU],
+    *[(f"{name}-{v}", 0.8, f"gnu {kind} public license [[as published by the free software foundation]] [[either]] version {v.replace('.', ' ')}") for name, kind, v in _GNU],
+    *[(f"{name}-{v}", 0.8, f"gnu {kind} public license {w}") for name, kind, v in _GNU for w in (f"v{v.replace('.', ' ')}", f"v {v.replace('.', ' ')}")],
+    *[(f"{name}-{v}", 0.9, f"[[spdx]] license identifier {name} {v.replace('.', ' ')} {'' if '.' in v else '[[0]]'}") for name, _, v in _GNU],
+    ("gpl-2", 0.9, "under [[the]] [[terms of the]] gplv2"),
+    ("gpl-3", 0.9, "under [[the]] [[terms of the]] gplv3"),
     ("mpl-2", 0.9, "subject to the terms of the mozilla public license v 2 0"),
     ("cc-by-nc", 0.9, "licensed under [[a]] [[creative commons]] cc by nc [[4 0]]"),
     ("cc-by-nc", 0.9, "licensed under [[a]] creative commons attribution noncommercial {{1-2}} [[international]] license"),
     ("cc-by-sa", 0.9, "licensed under [[a]] [[creative commons]] cc by sa [[4 0]]"),
     ("cc-by", 0.9, "licensed under [[a]] creative commons attribution {{1-2}} [[international]] license"),
-    ("unlicense", 1.0, "this is free and unencumbered software released into the public domain"),
+    ("unlicense", 0.9, "this is free and unencumbered software released into the public domain"),
+    *[(f.stem, 1.0, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))],
 ]
 SEED_WORDS = 2
 
@@ -87,12 +103,15 @@ class TokenAutomaton:
         self.seeds = frozenset({self.seed[0]})
 
     def _seed(self) -> tuple[int, tuple[str, ...]]:
-        """The first place with SEED_WORDS mandatory words in a row: every match passes it."""
+        """The first place with SEED_WORDS mandatory words in a row, or the longest mandatory word: every match passes it."""
         skipped = {p for a, to in self.free.items() for b in to for p in range(a, b)}
         for p in range(len(self.steps) - SEED_WORDS + 1):
             if all(k not in skipped and self.steps[k][0] for k in range(p, p + SEED_WORDS)):
                 return p, tuple(self.steps[k][0] for k in range(p, p + SEED_WORDS))
-        raise ValueError("a template needs two mandatory words in a row")
+        one = max((p for p, (w, _) in enumerate(self.steps) if w and p not in skipped), key=lambda p: len(self.steps[p][0]), default=None)
+        if one is None:
+            raise ValueError("a template needs a mandatory word")
+        return one, (self.steps[one][0],)
 
     def closure(self, places: set[int]) -> set[int]:
         todo, out = list(places), set(places)

@@ -521,10 +521,21 @@ def test_template_automata():
     assert accepts("x granted by big corp inc to you free of charge under these terms y") and accepts("granted by me to you under these terms")
     for bad in ("granted by to you under these terms", "granted by a b c d to you under these terms", "granted by me to you free of under these terms", "granted by me to you under those terms", "granted by me to all under these terms"):
         assert not accepts(bad)
-    whole = next(w for label, _, w in license_scan.TEMPLATES if label == "bsd-3-clause" and len(w) > 300)
-    text = re.sub(r"\{\{.*?\}\}", "Example Holdings", re.sub(r"\[\[.*?\]\]", "", whole))
-    found = license_scan.scan_text(text.encode(), license_scan._compiled(tuple(map(tuple, license_scan.TEMPLATES))), [])
-    assert found[5] == "bsd-3-clause" and found[6] == 1.0
+
+
+def test_every_template_gives_its_label():
+    compiled = license_scan._compiled(tuple(map(tuple, license_scan.TEMPLATES)))
+    for label, confidence, wording in license_scan.TEMPLATES:
+        names = itertools.cycle(["example", "holdings"])
+        fill = lambda m: " ".join(itertools.islice(names, max(int(m[1]), 1 if int(m[2]) > 1 else 0)))  # noqa: B023, E731
+        for text in (re.sub(r"\[\[|\]\]", "", wording), re.sub(r"\[\[[^\[\]]*\]\]", "", wording)):
+            text = re.sub(r"\{\{(\d+)-(\d+)\}\}", fill, text).replace("]]", "").replace("[[", "")
+            found = license_scan.scan_text(f"A word. {text} And more.".upper().encode(), compiled, [])
+            assert label in found[5].split(",") and found[6] >= confidence, (label, text[:80])
+            missing = text.split()
+            if confidence == 1.0 and len(missing) > 100:  # a mandatory word less: no whole text, perhaps its notice
+                del missing[-2]
+                assert license_scan.scan_text(" ".join(missing).encode(), compiled, [])[6] < 1.0
 
 
 def test_gnu_notices_without_either():
@@ -532,6 +543,9 @@ def test_gnu_notices_without_either():
     for kind, label in (("General", "gpl-2"), ("General", "gpl-3"), ("Lesser General", "lgpl-3"), ("Affero General", "agpl-3")):
         for middle in ("", " as published by the Free Software Foundation;", " as published by the Free Software Foundation; either", ", either"):
             assert license_scan.scan_text(f"under the terms of the GNU {kind} Public License{middle} version {label[-1]}".encode(), compiled, [])[5] == label
+    for text, label in (("Licensed under the GNU General Public License v3.0", "gpl-3"), ("GNU Lesser General Public License version 2.1", "lgpl-2.1"), ("GNU General Public License, version 2", "gpl-2"), ("released under the GPLv3", "gpl-3")):
+        assert license_scan.scan_text(text.encode(), compiled, [])[5] == label
+    assert license_scan.scan_text(b"the GNU General Public License is long, version control is not", compiled, [])[5] == ""
 
 
 # pipeline
