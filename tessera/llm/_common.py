@@ -44,9 +44,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, which all executors share."""
+    """A new path in the folder that spark.checkpoint.dir names, which all executors share.
+
+    Where it isn't set a local session gets a temporary folder; on a cluster each executor would write to a
+    disk of its own, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # only where no cluster names one, as in tests
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"

@@ -548,7 +548,35 @@ def test_gnu_notices_without_either():
     assert license_scan.scan_text(b"the GNU General Public License is long, version control is not", compiled, [])[5] == ""
 
 
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessera.llm._common import scratch_path
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_path(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)), "x")
+
+
 # pipeline
+def test_pipeline_cases(spark, tmp_path, odd, none):
+    """Null ids and texts, repeated rows and an empty table go through all stages."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    long = " ".join(f"word{i * 7 % 113} of{i % 31}" for i in range(60))
+    more = spark.createDataFrame([(50, long, "en", "s", 1), (50, long, "en", "s", 1), (51, long + " more", "en", "s", 1), (None, long, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(1, "Same words here now again"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd.select(*columns).unionByName(more), none.select(*columns)):
+        kept = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == columns
+        ids = [r.doc_id for r in kept.collect()]
+        assert sorted(ids, key=str) == ([50, 50, None] if docs.count() else [])  # rows of one id are one document, a null id has no copies
+        assert corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).count() == len(ids)
+
+
 def test_pipeline_stages(spark, sf_dir, documents):
     docs, kept = documents, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
