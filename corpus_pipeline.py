@@ -2,6 +2,9 @@
 
 The stages drop documents that the quality rules reject, toxic documents, all but one of each group of
 near duplicates, and documents that hold benchmark passages; the last encodes what is left.
+Rows whose quality, toxicity or leaks are judged alike stand or fall one by one; rows of one doc_id are one
+document in the near-duplicate stage and stay or go together, and a row without doc_id is nobody's copy there.
+Null and empty texts fail the quality rules. Empty tables give empty results; other columns pass through.
 SQL can't express the stages (expectation-maximisation, compression), so ORACLE_SQL is None and the
 tests hold each stage against a brute-force version.
 """
