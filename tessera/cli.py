@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import csv
 import json
 import sys
+from typing import TextIO
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.lint.analyzer import health_score, lint_project
 from tessera.lint.rules import PROJECT_RULES, SQL_RULES
@@ -14,6 +17,32 @@ from tessera.plans.printer import format_sql
 from tessera.project.engine import Config, Engine
 
 
+FORMATS = ("table", "json", "csv", "md")
+
+
+def write_rows(df: DataFrame, form: str, out: TextIO) -> None:
+    """Writes a result as a table (Spark's first rows), JSON lines, CSV or a Markdown table, row by row as it comes."""
+    if form == "table":
+        df.show(truncate=False)
+        return
+    if form == "json":
+        for row in df.toJSON().toLocalIterator():
+            out.write(row + "\n")
+        return
+    rows = df.select(*[F.col(f"`{c}`").cast("string") if "binary" not in t else F.base64(f"`{c}`") for c, t in df.dtypes]).toLocalIterator()
+    if form == "csv":
+        write = csv.writer(out, lineterminator="\n").writerow
+        write(df.columns)
+        for r in rows:
+            write(["" if x is None else x for x in r])
+        return
+    line = lambda xs: out.write("| " + " | ".join("" if x is None else str(x).replace("|", "\\|").replace("\n", " ") for x in xs) + " |\n")
+    line(df.columns)
+    line(["---"] * len(df.columns))
+    for r in rows:
+        line(r)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="tessera", description=__doc__)
     p.add_argument("--project", default=".", help="the folder with models, macros and seeds")
@@ -29,6 +58,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         sub.add_parser(name)
     for name in ("render", "lineage", "search", "query", "format"):
         sub.add_parser(name).add_argument("what")
+    sub.choices["query"].add_argument("--format", choices=FORMATS, default="table")
     a = p.parse_args(args)
     show = lambda x: print(x if isinstance(x, str) else json.dumps(x, default=str))
     if a.command == "rules":
@@ -68,7 +98,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in e.state.search(a.what):
             show(r["path"])
     elif a.command == "query":
-        e.query(a.what).show(truncate=False)
+        write_rows(e.query(a.what), a.format, sys.stdout)
     elif a.command == "history":
         for r in e.state.rows("SELECT * FROM v_runs"):
             show(r)

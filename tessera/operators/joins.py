@@ -1,4 +1,4 @@
-"""As-of and positional joins."""
+"""As-of and positional joins; joins on a range alone are rewritten by the emitter."""
 
 from __future__ import annotations
 
@@ -41,16 +41,15 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column
 def with_row_index(df: DataFrame, name: str = "_row") -> DataFrame:
     """The position of each row in partition order, from 0, without moving rows.
 
-    Partition sizes are one number a partition; they reach the rows as a map literal.
+    Partition sizes are one number a partition; what stands before each is joined in by broadcast (16 bytes a
+    partition). The input is read twice and must come in the same partitions both times, as tables and files do.
     """
     tagged = df.withColumn("_mono", F.monotonically_increasing_id())
-    sizes = {r[0]: r[1] for r in tagged.groupBy(F.shiftright("_mono", 33).alias("p")).count().collect()}
-    start, offsets = 0, {}
-    for p in sorted(sizes):
-        offsets[p] = start
-        start += sizes[p]
-    base = F.create_map(*[F.lit(x).cast("bigint") for kv in offsets.items() for x in kv]) if offsets else F.create_map().cast("map<bigint,bigint>")
-    return tagged.withColumn(name, F.try_element_at(base, F.shiftright("_mono", 33)) + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mono")
+    part = F.shiftright("_mono", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = tagged.groupBy(part).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    placed = tagged.withColumn("_part", part).join(F.broadcast(sizes), "_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, name)
 
 
 def positional_join(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("l", "r")) -> DataFrame:
@@ -58,14 +57,3 @@ def positional_join(left: DataFrame, right: DataFrame, names: tuple[str, str] =
     a = with_row_index(left.select(F.struct(*[left[c] for c in left.columns]).alias("_l")))
     b = with_row_index(right.select(F.struct(*[right[c] for c in right.columns]).alias("_r")))
     return a.join(b, "_row", "full").select(F.col("_l").alias(names[0]), F.col("_r").alias(names[1]))
-
-
-def range_join(left: DataFrame, right: DataFrame, low: Column, high: Column, point: Column, width: float) -> DataFrame:
-    """Rows with low <= point <= high (low, high of left; point of right), by bins of `width`.
-
-    Each left row goes to the bins that its range touches, so the join is an equi-join on the bin.
-    """
-    bins = F.sequence(F.floor(low / width), F.floor(high / width))
-    a = left.filter(low <= high).withColumns({"_low": low, "_high": high}).withColumn("_bin", F.explode(bins))
-    b = right.withColumns({"_point": point, "_bin": F.floor(point / width)})
-    return a.join(b, "_bin").filter("_point BETWEEN _low AND _high").drop("_bin", "_low", "_high", "_point")

@@ -209,8 +209,7 @@ class Engine:
             elif m.materialized == "incremental" and tables.exists(self.spark, name):
                 batch = self.spark.sql(text)
                 if m.unique_key:
-                    tables.upsert(self.spark, batch, name, m.unique_key)
-                    out = Result(m.path, "success", self.spark.sql(text).count())
+                    out = Result(m.path, "success", tables.upsert(self.spark, batch, name, m.unique_key))
                 else:
                     tables.append(self.spark, batch, name)
                     out = Result(m.path, "success", 0)

@@ -1,7 +1,8 @@
 """Seeds and materialisations: tables, views and incremental models in the session catalog.
 
-A table is written beside the old one and swapped by renames, so readers never see a half-written table and a
-failed run leaves the old one. The work of writing is Spark's; no rows pass through the driver.
+A table is written beside the old one and swapped by renames, so readers never see a half-written table. The old
+one is dropped last: a failed swap puts it back, and one that was cut off is put back by the next use. The work of
+writing is Spark's; no rows pass through the driver.
 """
 
 from __future__ import annotations
@@ -33,9 +34,19 @@ def drop(spark: SparkSession, name: str) -> None:
         spark.sql(f"DROP {'VIEW' if kind == 'VIEW' else 'TABLE'} {quoted(name)}")
 
 
+def _is_there(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(".".join(split_name(name)))
+
+
 def exists(spark: SparkSession, name: str) -> bool:
+    """Whether there is such a table or view; puts back a table whose swap was cut off between its renames."""
     db, table = split_name(name)
-    return spark.catalog.tableExists(f"{db}.{table}")
+    if _is_there(spark, name):
+        return True
+    if _is_there(spark, f"{db}.{table}__old"):
+        spark.sql(f"ALTER TABLE {quoted(f'{db}.{table}__old')} RENAME TO {quoted(name)}")
+        return True
+    return False
 
 
 def write_table(spark: SparkSession, df: DataFrame, name: str) -> None:
@@ -44,8 +55,19 @@ def write_table(spark: SparkSession, df: DataFrame, name: str) -> None:
     staging = f"{db}.{table}__new"
     drop(spark, staging)
     df.write.format("parquet").saveAsTable(staging)
-    drop(spark, name)
-    spark.sql(f"ALTER TABLE {quoted(staging)} RENAME TO {quoted(name)}")
+    old = f"{db}.{table}__old"
+    if exists(spark, name):
+        drop(spark, old)
+        if spark.catalog.getTable(f"{db}.{table}").tableType == "VIEW":
+            drop(spark, name)
+        else:
+            spark.sql(f"ALTER TABLE {quoted(name)} RENAME TO {quoted(old)}")
+    try:
+        spark.sql(f"ALTER TABLE {quoted(staging)} RENAME TO {quoted(name)}")
+    except Exception:
+        exists(spark, name)
+        raise
+    drop(spark, old)
 
 
 def write_view(spark: SparkSession, sql: str, name: str) -> None:
@@ -55,18 +77,28 @@ def write_view(spark: SparkSession, sql: str, name: str) -> None:
     spark.sql(f"CREATE OR REPLACE VIEW {quoted(name)} AS {sql}")
 
 
-def upsert(spark: SparkSession, new: DataFrame, name: str, keys: list[str]) -> None:
-    """Rows of the table whose key isn't in the batch, then the batch, columns by position.
+def upsert(spark: SparkSession, new: DataFrame, name: str, keys: list[str]) -> int:
+    """Rows of the table whose key isn't in the batch, then the batch, columns by position; the rows of the batch.
 
-    A null key deletes nothing and duplicates in the batch are kept, as a delete and insert would do.
+    The batch is written once, beside the table, so a model that reads the table itself is run once and before it
+    changes. A null key deletes nothing and duplicates in the batch are kept, as a delete and insert would do.
     """
     old = spark.table(quoted(name))
     batch = new.toDF(*old.columns) if len(new.columns) == len(old.columns) else new
     if batch is new:
         raise ValueError(f"{name} has {len(old.columns)} columns, the batch {len(new.columns)}")
     batch = batch.select(*[F.col(f"`{c}`").cast(old.schema[c].dataType).alias(c) for c in old.columns])
-    kept = old.join(batch.select(*keys).distinct(), keys, "left_anti").select(*old.columns)
-    write_table(spark, kept.unionAll(batch), name)
+    staged = "{}.{}__batch".format(*split_name(name))
+    drop(spark, staged)
+    batch.write.format("parquet").saveAsTable(staged)
+    batch = spark.table(quoted(staged))
+    try:
+        n = batch.count()
+        kept = old.join(batch.select(*keys).distinct(), keys, "left_anti").select(*old.columns)
+        write_table(spark, kept.unionAll(batch), name)
+    finally:
+        drop(spark, staged)
+    return n
 
 
 def append(spark: SparkSession, new: DataFrame, name: str) -> None:

@@ -9,15 +9,18 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tessera.sources import tables
 
 
-def upsert_stream(stream: DataFrame, name: str, keys: list[str], checkpoint: str, once: bool = False) -> StreamingQuery:
+def upsert_stream(stream: DataFrame, name: str, keys: list[str], checkpoint: str, once: bool = False, latest: str | None = None) -> StreamingQuery:
     """Each micro-batch replaces the rows of its keys, as an incremental model with a unique key does.
 
-    A batch that runs again after a failure gives the same table, since its keys are replaced again.
+    Of several rows of a key in a batch the one with the greatest `latest` counts, then that with the greatest
+    columns, so a batch that runs again after a failure gives the same table.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        last = batch.dropDuplicates(keys)
+        rest = [c for c in batch.columns if c not in keys]
+        order = F.struct(*[F.col(f"`{c}`") for c in (rest if not latest else [latest, *(c for c in rest if c != latest)])]) if rest else F.lit(0)
+        last = batch.groupBy(*keys).agg(F.max(order).alias("_last")).select(*[F.col(f"`{c}`") if c in keys else F.col(f"_last.`{c}`").alias(c) for c in batch.columns])
         tables.upsert(spark, last, name, keys) if tables.exists(spark, name) else tables.write_table(spark, last, name)
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

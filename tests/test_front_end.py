@@ -122,3 +122,63 @@ def test_sql_rules(rule, bad, good):
 def test_health():
     assert health_score([], 3) == 100 and health_score(lint_sql("SELECT a FROM t WHERE a = NULL"), 3) == 90
     assert lint_sql("SELECT FROM")[0].rule == "PARSE"
+
+
+def test_metadata_functions_and_refusals(spark, tmp_path):
+    from tessera.plans.lexer import SqlError
+    from tessera.session import run_sql
+
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    assert [r.file.rsplit("/", 1)[-1] for r in run_sql(spark, f"SELECT file FROM glob('{tmp_path}/*.csv')").collect()] == ["a.csv"]
+    spark.range(3).createOrReplaceTempView("some_view")
+    assert ("some_view",) in {tuple(r) for r in run_sql(spark, "SELECT view_name FROM duckdb_views()").collect()}
+    assert "default" in {r[0] for r in run_sql(spark, "SELECT schema_name FROM duckdb_schemas()").collect()}
+    assert run_sql(spark, "SELECT * FROM duckdb_settings() WHERE name = 'spark.sql.shuffle.partitions'").count() == 1
+    assert run_sql(spark, "SELECT * FROM duckdb_functions() WHERE function_name = 'abs'").count() == 1
+    assert run_sql(spark, "SELECT column_name, data_type FROM duckdb_columns() WHERE table_name = 'some_view'").collect() == [("id", "bigint")]
+    with pytest.raises(SqlError, match="no counterpart"):
+        run_sql(spark, "SELECT * FROM duckdb_secrets()")
+
+
+def test_result_formats(spark):
+    import io
+
+    from tessera.cli import write_rows
+
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "k int, v string")
+    got = {}
+    for form in ("json", "csv", "md"):
+        out = io.StringIO()
+        write_rows(df, form, out)
+        got[form] = out.getvalue()
+    assert got == {"json": '{"k":1,"v":"a|b"}\n{"k":2}\n', "csv": "k,v\n1,a|b\n2,\n", "md": "| k | v |\n| --- | --- |\n| 1 | a\\|b |\n| 2 |  |\n"}
+
+
+def test_range_joins_by_bins(spark):
+    from tessera.session import run_sql
+
+    spark.createDataFrame([(1, 0.0, 10.0), (2, 5.0, 5.0), (3, 9.0, 2.0), (4, None, 3.0), (5, -3.5, 1000.0)], "id int, lo double, hi double").createOrReplaceTempView("spans")
+    spark.createDataFrame([(k, float(k)) for k in range(-5, 15)] + [(99, None), (100, 1e6)], "p int, x double").createOrReplaceTempView("points")
+    for on in ("x BETWEEN lo AND hi", "p.x >= s.lo AND p.x < s.hi", "p.x > s.lo AND p.x <= s.hi"):
+        text = f"SELECT s.id, p.p, * FROM spans s JOIN points p ON {on}"
+        df = run_sql(spark, text)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "_bin0" not in df.columns and "_bin1" not in df.columns
+        want = spark.sql(text)
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_swaps_survive_failures(spark):
+    from tessera.sources import tables
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS swaps")
+    tables.write_table(spark, spark.range(3), "swaps.t")
+    tables.write_table(spark, spark.range(5), "swaps.t")
+    assert spark.table("swaps.t").count() == 5 and not spark.catalog.tableExists("swaps.t__old")
+    spark.sql("ALTER TABLE swaps.t RENAME TO swaps.t__old")  # as if the run had died between the renames
+    assert tables.exists(spark, "swaps.t") and spark.table("swaps.t").count() == 5
+    batch = spark.table("swaps.t").selectExpr("id + 3 AS id")
+    assert tables.upsert(spark, batch, "swaps.t", ["id"]) == 5 and spark.table("swaps.t").count() == 8
+    with pytest.raises(Exception):
+        tables.write_table(spark, spark.range(3).selectExpr("raise_error('no') AS x"), "swaps.t")
+    assert spark.table("swaps.t").count() == 8
