@@ -12,7 +12,7 @@ toxic part is a raw-content dictionary of all of them, rarest first; the ordinar
 
 The fit uses a bounded sample of labelled rows (documented parameters: `most_toxic` and
 `most_ordinary` rows, chosen by a hash of the id; texts of any length up to a tenth of MOST_BYTES, and
-together up to MOST_BYTES), collected on the driver.
+together up to MOST_BYTES) in one task, which sends the fitted model to the driver, about 40 kB.
 Every whole text is scored, in windows of about WINDOW bytes that end between words.
 
 Defined cases: null and empty texts have no window and get the calibration's score for no differences;
@@ -149,8 +149,8 @@ def fit(rows: list[tuple[bytes, int, int]], counts: tuple[int, int] | None = Non
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, folds: int, most_toxic: int, most_ordinary: int) -> tuple[list[tuple[bytes, int, int]], tuple[int, int]]:
-    """(rows, counts): at most most_toxic toxic and most_ordinary other rows, of at most MOST_BYTES together, in the
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, folds: int, most_toxic: int, most_ordinary: int) -> tuple[DataFrame, tuple[int, int]]:
+    """(rows of text, label and part, counts): at most most_toxic toxic and most_ordinary other rows, of at most MOST_BYTES together, in the
     folds that may train, and how many labelled rows of either kind there are."""
     one = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_i")).agg(F.max((F.col(f"`{label}`") > 0).cast("int")).alias("_y")).filter(fold("_i", folds) != 0)
     drawn = one.select("_i", "_y", F.xxhash64("_i").alias("_k"))
@@ -159,11 +159,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str,
     texts = docs.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text}`").alias("_t")).filter(F.octet_length("_t").between(1, MOST_BYTES // 10))
     found = texts.join(F.broadcast(picked), "_i").select("_t", "_y", F.pmod(F.xxhash64(F.lit(7), "_k"), F.lit(10)).cast("int").alias("_p"), "_k").orderBy("_k", "_t").limit(2 * (most_toxic + most_ordinary))
     found = found.withColumn("_sum", F.sum(F.octet_length("_t")).over(Window.orderBy("_k", "_t").rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") <= MOST_BYTES)
-    return [(r[0].encode(), r[1], r[2]) for r in found.collect()], (counts.get(0, 0), counts.get(1, 0))
+    return found.select("_t", "_y", "_p"), (counts.get(0, 0), counts.get(1, 0))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, most_toxic: int = MOST_TOXIC, most_ordinary: int = MOST_ORDINARY) -> CompressionDistance:
-    return fit(*labelled_sample(docs, labels, id_col, text, label, folds, most_toxic, most_ordinary))
+    """Fits the model on the sample, in one task of an executor."""
+    ship(docs.sparkSession)
+    sample, counts = labelled_sample(docs, labels, id_col, text, label, folds, most_toxic, most_ordinary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(t.as_py(), y, p) for b in batches for t, y, p in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), b.column(2).to_pylist())]
+        model = fit(rows, counts)
+        yield pa.RecordBatch.from_arrays([pa.array([model.toxic], pa.binary()), pa.array([model.ordinary], pa.binary()), pa.array([model.weights], pa.list_(pa.float64()))], ["toxic", "ordinary", "weights"])
+
+    found = sample.coalesce(1).mapInArrow(run, "toxic binary, ordinary binary, weights array<double>").collect()
+    return CompressionDistance(bytes(found[0][0]), bytes(found[0][1]), list(found[0][2])) if found else fit([], counts)
 
 
 def score_toxicity(docs: DataFrame, model: CompressionDistance, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -53,10 +53,37 @@ def test_toxicity_stands_ordinary_rows_with_toxic_words():
 def test_toxicity_samples_long_texts(spark):
     docs = spark.createDataFrame([(i, "word " * (8000 if i % 2 else 3)) for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(40)], "doc_id long, toxic int")
-    rows, counts = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", 5, 3000, 5000)
+    sample, counts = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", 5, 3000, 5000)
+    rows = sample.collect()
     assert len(rows) == sum(counts) and {y for t, y, _ in rows if len(t) == 40000} == {0, 1}
 
 
+def test_toxicity_score_is_that_of_its_definition(spark):
+    """Window lengths and the calibration by a plain version of both."""
+    import zstandard
+
+    texts = [f"w{i % 17} some usual words w{i % 23} of w{i % 13} {'blargendorf ' if i % 3 == 0 else ''}w{i % 11} {'zoldikmurr ' if i % 3 == 0 else ''}end " * 3 for i in range(300)]
+    model = toxicity.fit([(t.encode(), int(i % 3 == 0), i % 10) for i, t in enumerate(texts)])
+
+    def length(window, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, level=toxicity.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False).compress(window))
+
+    for t in (*texts[:6], "", "blargendorf", "x" * 500):
+        words, windows, now = t.lower().split(), [], ""
+        for w in words:
+            if len(now.encode()) >= toxicity.WINDOW + 1:
+                windows.append(now + " ")
+                now = ""
+            now += " " + w
+        windows += [now + " "] if now else []
+        d = [length(w.encode(), model.ordinary) - length(w.encode(), model.toxic + model.ordinary) for w in windows]
+        over = [sum(x >= k for x in d) for k in (3, 5, 7)]
+        n = max(1, len(d))
+        x = [1, min(12, max(d, default=0)) / 4, math.log1p(sum(v - 1 for v in d if v > 1)), *map(math.log1p, over), over[1] / n * 4, math.log(n) / 4]
+        assert model.toxic and model.score(t.encode()) == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, x)))))
+
+
 def test_toxicity_cases(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(None, 1), (2, None)], "doc_id long, toxic int")
     for docs, lab in ((odd, labels), (none, labels), (odd, labels.limit(0))):
