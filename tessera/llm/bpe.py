@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm._common import ship
 
-CHUNK, KEEP = 1_500_000, 150_000
+CHUNK, KEEP = 1_500_000, 600_000
 BETWEEN = "\u2029"
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
